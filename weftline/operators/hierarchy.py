@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, rows
@@ -37,6 +37,10 @@ from ..scratch import Scratch, rows
 #: Joins per written step of the pointer jumping; a step multiplies reach by HOPS + 1.
 HOPS = 3
 
+#: So few nodes left are peeled to the end in one task, some megabytes whatever
+#: their shape; more go on in rounds over all executors. Both give the same rows.
+LOCAL_NODES = 50_000
+
 
 def clean_name(col):
     """A name less surrounding blanks; null if nothing is left."""
@@ -64,23 +68,25 @@ def nodes_of(edges: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
-def _runs(active: DataFrame, work: Scratch) -> DataFrame:
-    """Rank all unbranched runs that end in a leaf: (node, parent, leaf, pos, size)."""
+def _runs(active: DataFrame, work: Scratch) -> tuple[DataFrame, int]:
+    """Rank all unbranched runs that end in a leaf, (node, parent, leaf, pos, size); and count their nodes."""
     kids = active.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("only"))
     links = (
         active.join(kids.withColumnRenamed("parent", "k"), F.col("node") == F.col("k"), "left")
         .where("n is null or n = 1")
         .select("node", "parent", F.col("only").alias("nxt"), F.lit(1).cast("bigint").alias("pos"), F.col("w").alias("size"), F.when(F.col("only").isNull(), F.col("node")).alias("leaf"))
     )
-    state, seen = work.write(links, live=F.count_if(F.col("nxt").isNotNull()))
-    settled = []
+    settled_live = {"live": F.count_if(F.col("nxt").isNotNull()), "done": F.count_if(F.col("nxt").isNull())}
+    state, seen = work.write(links, **settled_live)
+    settled, peeled = [], 0
     while True:
         settled.append(state.where("nxt is null").drop("nxt"))
+        peeled += seen["done"]
         if not seen["live"]:
-            return reduce(DataFrame.unionByName, settled)
+            return reduce(DataFrame.unionByName, settled), peeled
         live = state.where("nxt is not null")
         # what a pointer can land on: all rows still held, settled in this or any earlier step
-        known = reduce(DataFrame.unionByName, [s.withColumn("nxt", F.lit(None).cast("string")) for s in settled] + [live])
+        known = reduce(DataFrame.unionByName, [x.withColumn("nxt", F.lit(None).cast("string")) for x in settled] + [live])
         at = known.select(F.col("node").alias("b"), F.col("nxt").alias("nxt2"), F.col("pos").alias("pos2"), F.col("size").alias("size2"), F.col("leaf").alias("leaf2"))
         step = live
         for _ in range(HOPS):  # a settled row meets itself, so no null key gathers rows in one task
@@ -94,9 +100,66 @@ def _runs(active: DataFrame, work: Scratch) -> DataFrame:
                 F.when(fresh, F.col("leaf2")).otherwise(F.col("leaf")).alias("leaf"),
             )
         before = seen["live"]
-        state, seen = work.write(step, live=F.count_if(F.col("nxt").isNotNull()))
+        state, seen = work.write(step, **settled_live)
         if seen["live"] == before:  # nothing reached a leaf, nothing fell away: only cycles go on
-            return reduce(DataFrame.unionByName, settled)
+            return reduce(DataFrame.unionByName, settled), peeled
+
+
+def _finish(batches, with_path: bool):
+    """Leaf peeling of a small forest in one task; see LOCAL_NODES."""
+    import pyarrow as pa
+
+    up: dict = {}
+    size: dict = {}
+    for b in batches:
+        for v, p, w in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            up[v], size[v] = p, w
+    kids: dict = {}
+    for p in up.values():
+        kids[p] = kids.get(p, 0) + 1
+    order = [v for v in up if v not in kids]
+    for v in order:  # grows while it is walked: a node joins once its last child is peeled
+        p = up[v]
+        if p is not None:
+            size[p] += size[v]
+            kids[p] -= 1
+            if not kids[p]:
+                order.append(p)
+    top: dict = {}
+    steps: dict = {}
+    peeled = set(order)
+    for v in up:
+        if v not in peeled and v not in top:
+            ring = [v]
+            while up[ring[-1]] != v:
+                ring.append(up[ring[-1]])
+            least = min(ring, key=lambda x: x.encode())
+            for x in ring:
+                top[x], steps[x], size[x] = least, -1, None
+    for v in reversed(order):
+        p = up[v]
+        top[v] = v if p is None else top[p]
+        steps[v] = 0 if p is None else steps[p] if steps[p] < 0 else steps[p] + 1
+    names = ["node", "top", "steps", "size"] + ["path"] * with_path
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.list_(pa.string())] * with_path
+    out, held = [[] for _ in names], 0
+    for v in up:
+        row = [v, top[v], steps[v], size[v]]
+        if with_path:
+            path = None
+            if steps[v] >= 0:
+                path = [v]
+                while up[path[-1]] is not None:
+                    path.append(up[path[-1]])
+                path.reverse()
+            row.append(path)
+        for c, x in zip(out, row, strict=True):
+            c.append(x)
+        held += 1 + (max(0, steps[v]) if with_path else 0)
+        if held > 500_000:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            out, held = [[] for _ in names], 0
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
 
 def _cycles(residual: DataFrame, work: Scratch) -> DataFrame:
@@ -114,24 +177,25 @@ def _cycles(residual: DataFrame, work: Scratch) -> DataFrame:
             return state.select("node", "top")
 
 
-def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False) -> DataFrame:
+def _chains(runs: DataFrame) -> DataFrame:
+    """The top of each run and the subtree size it sends up."""
+    top = runs.groupBy("leaf").agg(F.max_by(F.struct("node", "parent", "size", "pos"), "pos").alias("h"))
+    return top.select("leaf", F.col("h.node").alias("head"), F.col("h.parent").alias("over"), F.col("h.size").alias("total"), F.col("h.pos").alias("length"))
+
+
+def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """Full hierarchy of ``edges``; see the module for columns and edge cases."""
-    spark = edges.sparkSession
-    work = Scratch(spark, "peel")
+    work = Scratch(edges.sparkSession, "peel")
     nodes, seen = work.write(nodes_of(edges, child, parent), n=rows(edges))
     active, left = nodes.select("node", "parent", F.lit(1).cast("bigint").alias("w")), seen["n"]
-    rounds: list[tuple[DataFrame, DataFrame]] = []
+    rounds: list[DataFrame] = []
     old = None
-    while left:
-        runs, seen = work.write(_runs(active, work), n=rows(active))
-        if not seen["n"]:
+    while left > local_nodes:
+        runs, peeled = _runs(active, work)
+        if not peeled:
             break
-        # the top of each run, and the subtree size it sends up
-        chains, _ = work.write(
-            runs.groupBy("leaf").agg(F.max_by(F.struct("node", "parent", "size", "pos"), "pos").alias("h")).select("leaf", F.col("h.node").alias("head"), F.col("h.parent").alias("over"), F.col("h.size").alias("total"), F.col("h.pos").alias("length"))
-        )
-        rounds.append((runs, chains))
-        gain = chains.where("over is not null").groupBy("over").agg(F.sum("total").alias("gain"))
+        rounds.append(runs)
+        gain = _chains(runs).where("over is not null").groupBy("over").agg(F.sum("total").alias("gain"))
         rest = (
             active.join(runs.select("node"), "node", "left_anti")
             .join(gain, F.col("node") == F.col("over"), "left")
@@ -144,12 +208,16 @@ def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False) ->
     null = F.lit(None)
     path0 = [null.cast("array<string>").alias("path")] if with_path else []
     known: list[DataFrame] = []
-    if left:  # what no peeling removes lies on cycles
+    if 0 < left <= local_nodes:
+        kind = "node string, top string, steps bigint, size bigint" + ", path array<string>" * with_path
+        known.append(work.write(active.coalesce(1).mapInArrow(lambda it: _finish(it, with_path), kind))[0])
+    elif left:  # what no peeling removes lies on cycles
         known.append(_cycles(active, work).select("node", "top", F.lit(-1).cast("bigint").alias("steps"), null.cast("bigint").alias("size"), *path0))
-    for runs, chains in reversed(rounds):
+    for runs in reversed(rounds):
+        chains = _chains(runs)
         if known:
             above = reduce(DataFrame.unionByName, known).select(F.col("node").alias("u"), F.col("top").alias("utop"), F.col("steps").alias("usteps"), *([F.col("path").alias("upath")] if with_path else []))
-            at = chains.join(above, F.col("over") == F.col("u"), "left")
+            at = chains.join(above, F.coalesce("over", "head") == F.col("u"), "left")
         else:
             at = chains.select("*", null.cast("string").alias("utop"), null.cast("bigint").alias("usteps"), *([null.cast("array<string>").alias("upath")] if with_path else []))
         at = at.select(
@@ -161,8 +229,6 @@ def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False) ->
         )
         cols = ["node", "top", F.when(F.col("base") < 0, F.lit(-1)).otherwise(F.col("base") + F.col("length") - F.col("pos")).cast("bigint").alias("steps"), "size"]
         if with_path:
-            from pyspark.sql import Window
-
             run = Window.partitionBy("leaf").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
             named = runs.withColumn("part", F.collect_list("node").over(run))
             done = named.join(at, F.col("leaf") == F.col("l")).select(*cols, F.when(F.col("base") >= 0, F.concat("upath", "part")).alias("path"))
