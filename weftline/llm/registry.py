@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from ..session import table
-from . import quantiles
+from . import mixing, quantiles, spam, tokens
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -38,10 +39,88 @@ def p2_daily_merge(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pe_id", "rank", "n", "q", "lower", "upper")
 
 
+# fixed values: the top level of this project's source tree
+DOMAINS = {
+    "forge_main": "forges",
+    "forge_mirror": "forges",
+    "legacy_archive": "forges",
+    "registry_tarballs": "packages",
+    "snippets": "teaching",
+    "course_repos": "teaching",
+    "notebook_export": "teaching",
+    "docs_sites": "documentation",
+    "hardware_cores": "hardware",
+    "firmware_dumps": "hardware",
+}
+
+
+def _mix(spark, d, total=None, factor=None):
+    """Token table and leaves with budgets; ``factor``: a total as a multiple of the listed sources' tokens."""
+    docs = table(spark, d, "documents")
+    work = Scratch(spark, "mix")
+    counted = tokens.token_counts(docs, "text", {"id": docs["doc_id"], "source": docs["source"], "lang": F.coalesce(docs["lang"], F.lit("unknown"))})
+    held, _ = work.write(counted)
+    sizes = held.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).limit(mixing.MAX_LEAVES + 1).collect()
+    weights = table(spark, d, "source_weights").select("source", "target_share", "max_repeats").limit(mixing.MAX_LEAVES + 1).collect()
+    if max(len(sizes), len(weights)) > mixing.MAX_LEAVES:
+        raise ValueError("more leaves than MAX_LEAVES")
+    leaves = mixing.weighted_leaves([tuple(r) for r in sizes], [tuple(r) for r in weights], DOMAINS)
+    if factor is not None:
+        total = int(factor * sum(x.tokens for x in leaves))
+    return held, mixing.budgets(leaves, total), weights
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every present source meets its share; one row per document."""
+    held, leaves, _ = _mix(spark, d)
+    return mixing.select(held, leaves).select(F.col("id").alias("doc_id"), "source", "lang", "n_tokens", "copies")
+
+
+def _shares(factor=None):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        held, leaves, weights = _mix(spark, d, factor=factor)
+        used = mixing.select(held, leaves).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+        budget: dict = {}
+        size: dict = {}
+        for x in leaves:
+            budget[x.path[-1]] = budget.get(x.path[-1], 0.0) + x.budget
+            size[x.path[-1]] = size.get(x.path[-1], 0) + x.tokens
+        plan = spark.createDataFrame(
+            [(r["source"], r["target_share"], r["max_repeats"], size.get(r["source"], 0), float(budget.get(r["source"], 0.0))) for r in weights],
+            "source string, target_share double, max_repeats int, tokens bigint, budget double",
+        )
+        whole = used.agg(F.sum("used").alias("whole"))
+        return (
+            plan.join(used, "source", "left")
+            .join(F.broadcast(whole))  # one row
+            .select(
+                "source", "target_share", "max_repeats", "tokens", F.round("budget").cast("bigint").alias("budget"),
+                *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("used", "documents", "most_copies")),
+                F.round(F.coalesce("used", F.lit(0)) / F.col("whole"), 6).alias("actual_share"),
+            )
+        )
+
+    return run
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text", "repo").select(F.col("id").alias("doc_id"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = spam.scores(table(spark, d, "documents"), "doc_id", "text", "repo")
+    return s.select(F.col("id").alias("doc_id"), F.col("host").alias("repo"), F.round("own", 6).alias("own"), F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
     "p2_daily_merge": p2_daily_merge,
+    "p7_mix": p7_mix,
+    "p7_shares": _shares(),
+    "p7_shares_whole": _shares(1.0),
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 
 _CLEAN = """with t as (select trim(pe_id) pe_id, rank, iteration_secs x from iteration_timing
