@@ -48,10 +48,12 @@ def token_counts(df: DataFrame, text: str, keep: dict, path: str = VOCABULARY) -
     """Columns of ``keep`` (name to column) and ``n_tokens``; null texts have 0 tokens."""
     plain = df.select(*(c.alias(k) for k, c in keep.items()), df[text].alias("_text"))
 
+    names = [*keep, "n_tokens"]
+
     def run(batches):
         for b in batches:
             n = [count_tokens(t, path) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64())], [*keep, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64())], names)
 
     schema = plain.drop("_text").withColumn("n_tokens", F.lit(0).cast("bigint")).schema
     return plain.mapInArrow(run, schema)
