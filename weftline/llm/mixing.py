@@ -5,14 +5,15 @@ sizes in tokens and a cap on repeats. Weights go down the tree as budgets; a
 leaf that cannot hold its budget, even repeated as often as it may be, passes
 the shortage to its siblings, and only what all of them cannot hold goes up to
 their parent's siblings. Each leaf then takes whole epochs of its documents and
-from the next epoch, ordered by a seeded hash of its own, the prefix that fits.
+from the next epoch, ordered by a seeded hash of its own, the nearest prefix.
 
 The prefix needs no sort of a leaf: token sums of hash buckets tell which bucket
 the budget ends in, and only that bucket, one of ``BUCKETS``, is ordered. The
 driver sees one row for each leaf, at most ``MAX_LEAVES``, never documents.
 
-A source's tokens differ from its budget by less than one document for each of
-its leaves. Documents without tokens, or of sources without a weight, are not
+The last document is taken if that brings the leaf nearer to its budget, so a
+source's tokens differ from its budget by at most half a document for each of
+its leaves, more or less alike. Documents without tokens, or of sources without a weight, are not
 mixed. Listed sources without documents pass their whole share on. Shares are
 taken relative to their sum; null or negative ones count 0, a null repeat cap 1.
 Repeated rows are separate records. Empty tables give no rows.
@@ -148,6 +149,6 @@ def select(docs: DataFrame, leaves: list[Leaf], seed: int = 0) -> DataFrame:
     ended = placed.join(F.broadcast(ends), key, "left")  # one row for each leaf
     clear = ended.where("last is null or bucket <> last").withColumn("extra", ((F.col("rest") > 0) & (F.coalesce("last", F.lit(BUCKETS)) > F.col("bucket"))).cast("int"))
     fit = Window.partitionBy(*key).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = ended.where("bucket = last").withColumn("extra", (F.sum("n_tokens").over(fit) + F.col("before") <= F.col("rest")).cast("int"))
+    edge = ended.where("bucket = last").withColumn("extra", (F.sum("n_tokens").over(fit) + F.col("before") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
     out = clear.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("extra"))
     return out.where("copies > 0").select("id", "lang", "source", "n_tokens", "copies")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from ..session import table
-from . import mixing, quantiles, spam, tokens
+from . import leakage, mixing, quantiles, spam, tokens
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -39,6 +39,23 @@ def p2_daily_merge(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pe_id", "rank", "n", "q", "lower", "upper")
 
 
+def _leaks(f):
+    def run(spark, d):
+        return f(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+    return run
+
+
+p6_found = _leaks(leakage.shared_passages)
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items of each document: word for word in part, or reworded."""
+    x = _leaks(leakage.leaks)(spark, d)
+    kind = F.when(F.col("longest_run") >= leakage.RUN, "passage").otherwise("reworded")
+    return x.select("doc_id", "item_id", kind.alias("kind"), "longest_run", "lcs", "item_words", "answer")
+
+
 # fixed values: the top level of this project's source tree
 DOMAINS = {
     "forge_main": "forges",
@@ -116,6 +133,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
     "p2_daily_merge": p2_daily_merge,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
     "p7_mix": p7_mix,
     "p7_shares": _shares(),
     "p7_shares_whole": _shares(1.0),
