@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import keyed_running
+
 
 def single_invocation(df: DataFrame, ident: str, column: str = "derived_from") -> DataFrame:
     """Stateless: an output derives from its own invocation's input."""
@@ -26,8 +28,9 @@ def slide(df: DataFrame, keys: list[str], order: list[str], ident: str, width: i
 
 def emission_group(df: DataFrame, keys: list[str], order: list[str], emits: Column, column: str = "grp") -> DataFrame:
     """Number of the emission that takes up each input: inputs since the last emission belong to the next one."""
-    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_e", F.coalesce(emits, F.lit(False)).cast("int")).withColumn(column, F.coalesce(F.sum("_e").over(past), F.lit(0)).cast("bigint"))
+    marked = df.withColumn("_e", F.coalesce(emits, F.lit(False)).cast("int"))
+    run = keyed_running(marked, keys, order, {column: ("sum", "_e")})
+    return run.withColumn(column, (F.col(column) - F.col("_e")).cast("bigint"))
 
 
 def accumulate(df: DataFrame, keys: list[str], order: list[str], ident: str, emits: Column) -> DataFrame:

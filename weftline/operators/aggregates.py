@@ -107,10 +107,18 @@ def keyed_running(df: DataFrame, keys: list[str], order: list[str], aggregates:
 
 
 def with_lane(df: DataFrame, column: str, lanes: int) -> DataFrame:
-    """``_lane``: number of the quantile range of an order column; equal values share a lane."""
+    """``_lane``: number of the quantile range of an order column; equal values share a lane.
+
+    Columns that are neither numbers nor times have one lane.
+    """
     kind = df.schema[column].dataType.simpleString()
-    x = F.unix_micros(F.col(column).cast("timestamp")).cast("double") if kind.startswith("timestamp") else F.col(column).cast("double")
-    cuts = df.select(x.alias("x")).approxQuantile("x", [i / lanes for i in range(1, lanes)], 0.01)
-    cuts = sorted(set(cuts))
-    lane = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (x > c).cast("int")) if cuts else F.lit(0)
+    if kind.startswith("timestamp") or kind == "date":
+        x = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    elif kind in ("string", "binary", "boolean") or kind.startswith(("array", "map", "struct")):
+        return df.withColumn("_lane", F.lit(0))
+    else:
+        x = F.col(column).cast("double")
+    cuts = sorted({c for c in df.select(x.alias("x")).approxQuantile("x", [i / lanes for i in range(1, lanes)], 0.01) if c == c})
+    # nulls sort first, as in the windows' order
+    lane = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + F.coalesce(x > c, F.lit(False)).cast("int")) if cuts else F.lit(0)
     return df.withColumn("_lane", lane)

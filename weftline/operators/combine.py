@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ordered
+from . import aggregates, ordered
 
 
 def cross_product(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def square(a: Column) -> Column:
 
 
 def ranked(df: DataFrame, order: list[str], keys: list[str] = (), column: str = "rn") -> DataFrame:
-    """Position in the order, from 1, per key or over all rows (then without a single task)."""
+    """Position in the order, from 1, per key or over all rows; neither puts one key's rows in one task."""
     if keys:
-        return df.withColumn(column, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+        return aggregates.keyed_running(df.withColumn("_one", F.lit(1)), keys, order, {column: ("count", "_one")}).drop("_one")
     placed, _ = ordered.with_position(df, order, column)
     return placed.withColumn(column, F.col(column) + 1)
 
@@ -46,10 +46,10 @@ def zip_join(left: DataFrame, right: DataFrame, order: list[str], keys: list[str
     return a.join(b, [*keys, "rn"])
 
 
-def barrier(df: DataFrame, stream: str, streams: list, order: list[str], value: Column, aggregates: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def barrier(df: DataFrame, stream: str, streams: list, order: list[str], value: Column, folds: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """i-th values of n streams folded together, only where all n have arrived."""
     r = ranked(df.where(F.col(stream).isin(*streams)), order, [stream])
-    out = r.groupBy("rn").agg(*(f(value).alias(k) for k, f in aggregates.items()), F.count(F.lit(1)).alias("_k"))
+    out = r.groupBy("rn").agg(*(f(value).alias(k) for k, f in folds.items()), F.count(F.lit(1)).alias("_k"))
     return out.where(F.col("_k") == len(streams)).drop("_k")
 
 
