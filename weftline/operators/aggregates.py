@@ -57,7 +57,7 @@ def final(states: DataFrame, *keep: str) -> DataFrame:
     variance = F.try_divide(n * ss - s * s, n * (n - 1))
     return states.where("n > 0").select(
         *keep, n.alias("count"), s.alias("sum"), (s / n).alias("avg"), F.col("lo").alias("min"), F.col("hi").alias("max"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("stddev"),
+        F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("stddev"),
     )
 
 

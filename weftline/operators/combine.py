@@ -93,7 +93,7 @@ def threshold(cells: DataFrame, least: float) -> DataFrame:
 
 
 def communication_time(log: DataFrame, pe: str = "pe", rank: str = "rank", method: str = "method", start: str = "start", end: str = "end", data: str = "data") -> DataFrame:
-    """Longest time between a write and the read of the same data, for each (writer, reader); reads without a write have a null writer."""
+    """Longest time between a write and the read of the same data, for each (writer, reader); reads without a write have a null writer and their own time."""
     side = lambda m, p: log.where(F.col(method) == m).select(F.col(pe).alias(f"{p}_pe"), F.col(start).alias(f"{p}_start"), F.col(end).alias(f"{p}_end"), F.col(data).alias(f"{p}_data"))
     r, w = side("read", "r"), side("write", "w")
     took = F.greatest("w_end", "r_end") - F.greatest("r_start", "w_start")
