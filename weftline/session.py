@@ -28,3 +28,13 @@ def local_session(cpus: int | str = "*", **conf) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan cut into fewer pieces than there are cores, dealt out to all of them.
+
+    For steps whose cost is in Python per row: one small file would keep one core
+    busy. A table of many files or row groups is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
