@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..session import spread
 
 RUN = 20
 WINDOW = RUN // 2
@@ -310,7 +311,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     """Pairs that hold, with their evidence; see the module."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    corpus = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("text is not null and doc_id is not null and text <> ''")
+    corpus = spread(docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("text is not null and doc_id is not null and text <> ''"))
     tests = items.select(items[item_id].cast("bigint").alias("item_id"), items[item_text].alias("text")).where("text is not null and item_id is not null").distinct()
     held, seen = Scratch(spark, "leaks").write(tests, words=F.sum(F.size(F.split("text", "[^A-Za-z0-9]+"))))
     blocks = max(1, -(-int(seen["words"] or 0) // BLOCK_WORDS))
