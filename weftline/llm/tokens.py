@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that belongs to the vocabulary's merges
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,4 +58,4 @@ def token_counts(df: DataFrame, text: str, keep: dict, path: str = VOCABULARY) -
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64())], names)
 
     schema = plain.drop("_text").withColumn("n_tokens", F.lit(0).cast("bigint")).schema
-    return plain.mapInArrow(run, schema)
+    return spread(plain).mapInArrow(run, schema)
