@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..session import spread
 
 TRAIN_ROWS = 4_000
 TREES = 20
@@ -178,11 +179,8 @@ def extract(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
                     ws.append(weak_label(f))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(fs, pa.list_(pa.float64())), pa.array(ws, pa.float64())], schema=out)
 
-    return (
-        docs.select(docs[doc_id].cast("bigint").alias("id"), docs[host].cast("string").alias("host"), docs[text].alias("t"))
-        .where("t is not null and id is not null")
-        .mapInArrow(run, "id bigint, host string, f array<double>, weak double")
-    )
+    page = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[host].cast("string").alias("host"), docs[text].alias("t")).where("t is not null and id is not null")
+    return spread(page).mapInArrow(run, "id bigint, host string, f array<double>, weak double")
 
 
 def scores(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
