@@ -77,3 +77,21 @@ def test_documents(spark):
     assert prov.equal(prov.from_payloads(spark.createDataFrame([(1, again)], "i bigint, t string"), "i", "t")[0], n)
     assert '"a" [shape=box]' in prov.dot([("a", "activity")], [("a", "e9", "used")])
     assert spark.range(1).select(prov.literal(F.lit("4"), "xsd:int"), prov.literal(F.lit("x"), "xsd:int"), prov.literal(F.lit("4"), "xsd:odd")).first()[:] == (4, None, None)
+
+
+def test_array_ends_give_an_edge_each(spark):
+    doc = {
+        "hadMember": {"_:1": {"prov:collection": "c", "prov:entity": ["e1", {"$": "e2", "type": "xsd:QName"}, "e3", "e1", None], "n": ["x", "y"]}, "_:2": {"prov:collection": "c"}, "_:3": {"prov:collection": "c", "prov:entity": []}},
+        "alternateOf": {"_:4": [{"prov:alternate1": ["a", "b"], "prov:alternate2": ["p", "q"]}, {"prov:alternate1": None, "prov:alternate2": "z"}], "_:5": {}},
+    }
+    read = lambda text: prov.from_payloads(spark.createDataFrame([(1, text)], "i bigint, t string"), "i", "t")
+    n, e = read(json.dumps(doc))
+    rows = [(r["id"], r["src"], r["dst"]) for r in e.collect()]
+    members = [("_:1", "c", x) for x in ("e1", "e2", "e3")] + [("_:2", "c", None), ("_:3", "c", None)]
+    both = [("_:4", x, y) for x in "ab" for y in "pq"] + [("_:4", None, "z"), ("_:5", None, None)]
+    assert sorted(rows, key=str) == sorted(members + both, key=str)
+    assert {r["dst"]: dict(r["attrs"]) for r in e.where("id = '_:1'").collect()} == {x: {"prov:collection": "c", "prov:entity": x, "n": "x", "n#1": "y"} for x in ("e1", "e2", "e3")}
+    assert {r["id"] for r in prov.property_graph(n, e)[0].collect()} == set("cabpqz") | {"e1", "e2", "e3"}
+    assert {f"hadMember(_:1; c, {x})" for x in ("e1", "e2", "e3")} <= {r["line"] for r in prov.prov_n(n, e).collect()}
+    again = read(prov.document_json([r.asDict() for r in e.where("src is not null").collect()]))[1]
+    assert prov.equal(again, e.where("src is not null"))

@@ -46,22 +46,35 @@ def literal(value: Column, kind: str) -> Column:
 
 
 def from_payloads(df: DataFrame, doc_id: str, payload: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of PROV-JSON payloads, through the shredder."""
+    """Node and edge tables of PROV-JSON payloads, through the shredder.
+
+    A relation whose end is an array gives one edge for each value, or pair of
+    values, of its ends.
+    """
     from ..operators.shred import tables
 
     t = tables(df, doc_id, payload)
     key = ["doc_id", "variant"]
+    named = F.concat_ws("#", "name", F.nullif(F.col("attr_no").cast("string"), F.lit("0")))
     attrs = (
         t["attributes"]
         .groupBy(*key, "rec_pre")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("#", "name", F.nullif(F.col("attr_no").cast("string"), F.lit("0"))).alias("k"), "value")))).alias("attrs"))
+        .agg(F.array_sort(F.collect_list(F.struct(named.alias("k"), "value", "name"))).alias("each"))
+        .withColumn("attrs", F.map_from_entries(F.transform("each", lambda e: F.struct(e["k"].alias("k"), e["value"].alias("value")))))
     )
     rec = t["records"].join(attrs.withColumnRenamed("rec_pre", "pre"), [*key, "pre"], "left").withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>")))
-    base = rec.select(F.col("doc_id").cast("string").alias("doc"), F.col("bundle_id").alias("bundle"), F.col("rec_type").alias("kind"), F.col("rec_id").alias("id"), "attrs")
-    nodes = base.where(F.col("kind").isin(*ELEMENTS))
-    ends = base.where(F.col("kind").isin(*RELATIONS))
-    pick = lambda i: F.coalesce(*(F.when(F.col("kind") == k, F.try_element_at("attrs", F.lit(r[i]))) for k, r in RELATIONS.items()))
-    edges = ends.select("doc", "bundle", "kind", "id", pick(0).alias("src"), pick(1).alias("dst"), "attrs")
+    base = rec.select(F.col("doc_id").cast("string").alias("doc"), F.col("bundle_id").alias("bundle"), F.col("rec_type").alias("kind"), F.col("rec_id").alias("id"), "attrs", "each")
+    nodes = base.where(F.col("kind").isin(*ELEMENTS)).drop("each")
+    end = lambda i: F.coalesce(*(F.when(F.col("kind") == k, F.lit(r[i])) for k, r in RELATIONS.items()))
+    ends = base.where(F.col("kind").isin(*RELATIONS)).withColumns({"_a": end(0), "_b": end(1)})
+    # an end may be an array: one edge for each pair of values, whose attributes name these alone
+    values = lambda c: F.array_distinct(F.filter(F.transform(F.filter("each", lambda e: e["name"] == F.col(c)), lambda e: e["value"]), lambda v: v.isNotNull()))
+    pairs = ends.select("*", F.explode_outer(values("_a")).alias("src")).select("*", F.explode_outer(values("_b")).alias("dst"))
+    rest = F.filter("each", lambda e: ~e["name"].isin(F.col("_a"), F.col("_b")))
+    given = lambda c, v: F.when(F.exists("each", lambda e: e["name"] == F.col(c)), F.struct(F.col(c).alias("k"), F.col(v).alias("value")))
+    own = F.array_compact(F.array(given("_a", "src"), given("_b", "dst")))
+    entries = F.array_sort(F.concat(F.transform(rest, lambda e: F.struct(e["k"].alias("k"), e["value"].alias("value"))), own))
+    edges = pairs.select("doc", "bundle", "kind", "id", "src", "dst", F.coalesce(F.map_from_entries(entries), F.col("attrs")).alias("attrs"))
     return nodes, edges
 
 
