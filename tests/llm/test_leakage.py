@@ -75,3 +75,13 @@ def test_common_subsequence_and_run():
             masks[w] = masks.get(w, 0) | (1 << i)
         assert L.common_subsequence(a, masks, len(b)) == lcs(a, b)
         assert run_of(a, b) == max((n for n in range(len(a) + 1) for i in range(len(a) - n + 1) if any(a[i : i + n] == b[j : j + n] for j in range(len(b) - n + 1))))
+
+
+def test_rewordings_of_every_few_words_are_found(spark):
+    items = [(i, text(80)) for i in range(10)]
+    docs = [(100 * step + i, text(33) + [f"z{k}" if k % step == 0 else w for k, w in enumerate(ws)] + text(20)) for step in (9, 6, 5) for i, ws in items]
+    docs += [(k, [f"z{R.randrange(90)}" for _ in range(120)]) for k in range(40)]  # the words put in are common ones
+    df = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "d bigint, t string")
+    tests = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "i bigint, t string")
+    want = {(d, i) for d, ws in docs if d >= 100 for i, _ in items if d % 100 == i}
+    assert want <= {(r["doc_id"], r["item_id"]) for r in L.leaks(df, "d", "t", tests, "i", "t").collect()}

@@ -5,19 +5,19 @@
    a distributed randomised SVD gives a latent space of ``RANK`` dimensions: two
    passes over the passages add up X'(X Omega) and the Gram matrix of X Q; only
    those sums, sized by the items' vocabulary, reach the driver.
-3. All documents are cut into passages of ``WINDOW`` words, each ``WINDOW`` words.
-   A passage most of whose TF-IDF energy lies in words of the items is projected
-   and compared, in blocks, with all item passages: cosine at least ``COSINE``
-   makes its document a candidate for the item.
+3. Every run of ``WINDOW`` words of a document, all but two of them words of the
+   items, is projected and compared, in blocks, with the passages of the items
+   that step 4 can keep for this document at all (enough of their words occur in
+   it, or a run): cosine at least ``COSINE`` makes it a candidate for the item.
+   Words outside the items have no place in the latent space and no weight.
 4. Candidates are checked on the whole texts and kept if they share RUN words in
    a row, or LCS_SHARE of the item as a common subsequence, or ANSWERED_SHARE of
    it and the item's ending (its answer).
 
-Why no shared run of 2 * WINDOW words is missed: it holds a whole document
-passage, which is then word for word a passage of the item; equal passages have
-equal vectors, so their cosine is 1 in any projection that keeps them, and their
-energy lies in the items' words entirely. Rewordings are found as far as a
-passage of theirs stays within the cosine.
+Why no shared run of RUN words is missed: a document passage in it is word for
+word a passage of the item; equal passages have equal vectors, so their cosine is
+1 in any projection that keeps them. Rewordings are found as far as a passage of
+theirs stays within the cosine, which one with WINDOW words kept in a row does.
 
 Words are the longest runs of ASCII letters and digits, in lower case. Texts
 that are null or have fewer than WINDOW words, and such items, match nothing.
@@ -176,22 +176,15 @@ def owners(items: list[tuple], size: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(np.full(max(0, len(s) - size + 1), k) for k, (_, s, _) in enumerate(items))])
 
 
-def compare(at: list[tuple], latent: np.ndarray, passages: np.ndarray) -> list[tuple]:
-    """(row, passages) of all document passages in ``at`` near passages of items."""
-    x = np.concatenate([w for _, w in at])
-    row = np.concatenate([np.full(len(w), i) for i, w in at])
+def near(x: np.ndarray, latent: np.ndarray, passages: np.ndarray, owner: np.ndarray) -> set[int]:
+    """Owners of the item passages near any of the document passages ``x``."""
     # equal passages, in any order of their words, are compared once
-    uniq, back = np.unique(np.sort(x, axis=1), axis=0, return_inverse=True)
-    order = np.argsort(back.ravel(), kind="stable")
-    first = np.searchsorted(back.ravel()[order], np.arange(len(uniq) + 1))
+    uniq = np.unique(np.sort(x, axis=1), axis=0)
     padded = np.vstack([latent, np.zeros((1, latent.shape[1]), latent.dtype)])
-    out = []
+    hit = np.zeros(len(passages), dtype=bool)
     for k in range(0, len(uniq), BLOCK):
-        sims = _unit(padded[uniq[k : k + BLOCK]].sum(axis=1)) @ passages.T
-        for p in np.flatnonzero(sims.max(axis=1) >= COSINE):
-            near = np.flatnonzero(sims[p] >= COSINE)
-            out += [(int(r), near) for r in row[order[first[k + p] : first[k + p + 1]]]]
-    return out
+        hit |= (_unit(padded[uniq[k : k + BLOCK]].sum(axis=1)) @ passages.T).max(axis=0) >= COSINE
+    return set(owner[hit].tolist())
 
 
 class Runs:
@@ -229,8 +222,25 @@ class Checker:
         self.has = np.zeros((len(items), vocabulary + 1), dtype=bool)  # the last column is for other words
         for k, (_, s, _) in enumerate(items):
             self.has[k, s] = True
+        self.flat = np.concatenate([np.zeros(0, np.int64), *(np.array(s, np.int64) for _, s, _ in items)])
+        self.sizes = np.array([len(s) for _, s, _ in items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.masks: dict = {}
 
+    def possible(self, g: np.ndarray) -> set[int]:
+        """Items that can hold: a common subsequence is no longer than the item's words that occur at all."""
+        here = np.zeros(self.has.shape[1], dtype=bool)
+        here[g[g >= 0]] = True
+        occur = np.add.reduceat(here[self.flat], self.starts, dtype=np.int64)
+        out = set(np.flatnonzero(occur >= LCS_SHARE * self.sizes).tolist())
+        # runs need as many words of the items in a row
+        known = int(np.diff(np.flatnonzero(np.concatenate([[True], g < 0, [True]]))).max()) - 1
+        if known >= RUN:
+            out |= self.long.find(g)
+        if known >= ANSWER_RUN:
+            out |= {k for k in self.ending.find(g) if occur[k] >= ANSWERED_SHARE * self.sizes[k]}
+        return out
+
     def check(self, g: np.ndarray, candidates: set[int]) -> list[tuple]:
         """(item id, longest run, lcs, item words, answer) of the candidates that hold."""
         out = []
@@ -262,45 +272,24 @@ def _search(docs: DataFrame, index) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest_run", pa.int32()), ("lcs", pa.int32()), ("item_words", pa.int32()), ("answer", pa.bool_())])
 
     def run(batches):
-        ids, idf, unseen, latent, items = index.value
-        get, energy = ids.get, idf**2
-        words = passages_words(items)
-        # items share passages: each is compared once, for all its owners
-        bags, back = np.unique(np.sort(words, axis=1), axis=0, return_inverse=True)
-        passages, whose = _unit(latent[bags].sum(axis=1)), [[] for _ in bags]
-        for q, k in zip(back.ravel().tolist(), owners(items, WINDOW).tolist(), strict=True):
-            whose[q].append(k)
-        lightest = COSINE**2 * float(idf[words].sum(axis=1).min()) if len(words) else 0.0
-        checker = Checker(items, len(ids))
+        ids, latent, items = index.value
+        get = ids.get
+        words, owner = passages_words(items), owners(items, WINDOW)
+        passages = _unit(latent[words].sum(axis=1))
+        checker = Checker(items, len(ids)) if items else None
         for b in batches:
-            doc_ids, at, seqs, size, near = b.column(0).to_pylist(), [], {}, 0, {}
-
-            def settle(at=at, near=near):
-                for i, some in compare(at, latent, passages) if at else []:
-                    near.setdefault(i, set()).update(*(whose[q] for q in some))
-                at.clear()
-
-            for i, t in enumerate(b.column(1).to_pylist()):
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 g = np.array([get(w, -1) for w in words_of(t)], dtype=np.int64)
-                n = len(g) // WINDOW
-                if not n or not len(words):
+                if checker is None or len(g) < WINDOW:
                     continue
-                x = g[: n * WINDOW].reshape(n, WINDOW)
-                # a cheap look first: enough words of the items, then weight and energy
+                # every position counts, so that a passage need not be aligned with anything
+                x = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
                 x = x[(x >= 0).sum(axis=1) >= WINDOW - 2]
-                if len(x):
-                    inside = x >= 0
-                    e = np.where(inside, energy[x], 0.0).sum(axis=1)
-                    x = x[(e >= COSINE**2 * (e + (~inside).sum(axis=1) * unseen**2)) & (np.where(inside, idf[x], 0.0).sum(axis=1) >= lightest)]
-                if len(x):
-                    at.append((i, x))
-                    seqs[i] = g
-                    size += len(x)
-                    if size >= 4096:
-                        settle()
-                        size = 0
-            settle()
-            rows = [(doc_ids[i], *r) for i, some in near.items() for r in checker.check(seqs[i], some)]
+                some = checker.possible(g) if len(x) else set()
+                if some:
+                    of = np.isin(owner, list(some))
+                    rows += [(i, *r) for r in checker.check(g, near(x, latent, passages[of], owner[of]))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(out)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
@@ -324,16 +313,15 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         counts = {r["w"]: r["n"] for r in _frequencies(corpus.select("text"), sc.broadcast(frozenset(vocab))).collect()}  # one row a word
         total = counts.get("", 0)
         idf = np.array([np.log((total + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in vocab])
-        unseen = float(np.log(total + 1))
         kept = [(i, [ids[w] for w in ws], None) for i, ws in rows if len(ws) >= WINDOW]
         if not kept:
             continue
         latent = _fit(part, ids, idf) * idf[:, None]
-        index = sc.broadcast((ids, idf, unseen, latent, kept))
+        index = sc.broadcast((ids, latent, kept))
         hits = _search(corpus, index)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        return _search(corpus.limit(0), sc.broadcast(({}, np.zeros(0), 0.0, np.zeros((0, 1)), [])))
+        return _search(corpus.limit(0), sc.broadcast(({}, np.zeros((0, 1)), [])))
     best = [F.max(c).alias(c) for c in ("longest_run", "lcs", "item_words", "answer")]
     return out.groupBy("doc_id", "item_id").agg(*best)
 
