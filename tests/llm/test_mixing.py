@@ -19,6 +19,16 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert M.fitting_total(leaves()) == 2000
 
 
+def test_leaf_without_repeats_passes_its_share_on():
+    sizes, weights = [("p", "l", 1000), ("q", "l", 400), ("r", "l", 700), ("s", "l", 90)], [("p", 0.4, 1), ("q", 0.2, 1), ("r", 0.2, 0), ("s", 0.2, -3)]
+    held = M.weighted_leaves(sizes, weights, {})
+    assert M.fitting_total(held) == 2000
+    assert {x.path[-1]: x.budget for x in M.budgets(held)} == {"p": 1000, "q": 400, "r": 0, "s": 0}
+    # as if the two had no documents
+    assert {x.path[-1]: x.budget for x in M.budgets(M.weighted_leaves(sizes[:2], weights, {}))} == {"p": 1000, "q": 400, "r": 0, "s": 0}
+    assert sum(x.budget for x in M.budgets(held, 900)) == 900
+
+
 def test_weights(spark):
     got = M.weighted_leaves([("p", "l", 10), ("p", "m", 30), ("q", "l", 5), ("off", "l", 9), (None, "l", 3)], [("p", 0.6, 1), ("q", 0.2, None), ("gone", 0.2, 4), (None, 1.0, 1), ("neg", -1.0, 1)], {"p": "d"})
     assert {x.path: (round(x.weight, 3), x.tokens, x.repeats) for x in got} == {

@@ -14,7 +14,8 @@ driver sees one row for each leaf, at most ``MAX_LEAVES``, never documents.
 The last document is taken if that brings the leaf nearer to its budget, so a
 source's tokens differ from its budget by at most half a document for each of
 its leaves, more or less alike. Documents without tokens, or of sources without a weight, are not
-mixed. Listed sources without documents pass their whole share on. Shares are
+mixed. Listed sources without documents, or that may not be repeated even once,
+pass their whole share on. Shares are
 taken relative to their sum; null or negative ones count 0, a null repeat cap 1.
 Repeated rows are separate records. Empty tables give no rows.
 """
@@ -87,9 +88,9 @@ def allot(node: Node, budget: float) -> None:
 
 
 def fitting_total(leaves: list[Leaf]) -> int:
-    """Largest total at which no leaf that has tokens falls short of its share."""
+    """Largest total at which no leaf that can hold any tokens falls short of its share."""
     whole = sum(x.weight for x in leaves)
-    return int(min((x.capacity / (x.weight / whole) for x in leaves if x.tokens and x.weight > 0), default=0))
+    return int(min((x.capacity / (x.weight / whole) for x in leaves if x.capacity > 0 and x.weight > 0), default=0))
 
 
 def budgets(leaves: list[Leaf], total: int | None = None) -> list[Leaf]:
