@@ -30,11 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Setting with the number of tasks to deal a scan out to; unset, scans stay as their files are cut.
+SCAN_TASKS = "spark.weftline.scanTasks"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan cut into fewer pieces than there are cores, dealt out to all of them.
+    """A scan whose cost is in Python per row, dealt out to as many tasks as ``SCAN_TASKS`` says.
 
-    For steps whose cost is in Python per row: one small file would keep one core
-    busy. A table of many files or row groups is left as it is, without a shuffle.
+    Off unless the session sets it: for tables of a single small file on one machine.
+    A large table comes in enough pieces, and a shuffle of its whole texts gains nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
+    n = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(n)) if n else df
