@@ -124,9 +124,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text", "repo").select(F.col("id").alias("doc_id"))
 
 
+def _spam_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.scores(table(spark, d, "documents"), "doc_id", "text", "repo").withColumn("decided_by", spam.decided_by())
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = spam.scores(table(spark, d, "documents"), "doc_id", "text", "repo")
-    return s.select(F.col("id").alias("doc_id"), F.col("host").alias("repo"), F.round("own", 6).alias("own"), F.round("score", 6).alias("score"))
+    return _spam_scores(spark, d).select(
+        F.col("id").alias("doc_id"), F.col("host").alias("repo"), "weak", F.round("own", 6).alias("own"), F.round("score", 6).alias("score"), "decided_by"
+    )
+
+
+def p8_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages a label, the trees and the hosts settled, either way."""
+    return _spam_scores(spark, d).groupBy("decided_by", (F.col("score") >= spam.THRESHOLD).alias("spam")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 QUERIES = {
@@ -140,6 +150,7 @@ QUERIES = {
     "p7_shares_whole": _shares(1.0),
     "p8_found": p8_found,
     "p8_scores": p8_scores,
+    "p8_decisions": p8_decisions,
 }
 
 _CLEAN = """with t as (select trim(pe_id) pe_id, rank, iteration_secs x from iteration_timing
