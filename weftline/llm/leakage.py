@@ -1,35 +1,41 @@
 """Test passages inside a training corpus, by latent semantic retrieval and word checks.
 
-1. Document frequencies of the test items' words are counted over all documents.
-2. The items' passages (every run of ``WINDOW`` words) become TF-IDF vectors, and
-   a distributed randomised SVD gives a latent space of ``RANK`` dimensions: two
-   passes over the passages add up X'(X Omega) and the Gram matrix of X Q; only
-   those sums, sized by the items' vocabulary, reach the driver.
-3. Every run of ``WINDOW`` words of a document, all but two of them words of the
-   items, is projected and compared, in blocks, with the passages of the items
-   that step 4 can keep for this document at all (enough of their words occur in
-   it, or a run): cosine at least ``COSINE`` makes it a candidate for the item.
-   Words outside the items have no place in the latent space and no weight.
+1. Every text is cut into words once, on the JVM; a written table keeps each
+   document as numbers of the test items' words (-1 for any other word), and the
+   documents that hold each word are counted over the whole corpus.
+2. A distributed randomised SVD of TF-IDF passages of ``WINDOW`` words gives a
+   latent space of ``RANK`` dimensions. It is fitted on all passages of the items
+   and on about ``FIT_PASSAGES`` passages of documents taken by the hash of their
+   id: two passes add up X'(X Omega) and the Gram matrix of X Q; only those sums,
+   sized by the items' vocabulary, reach the driver.
+3. Every run of ``WINDOW`` words of every document, at every position, half of
+   them or more words of the items, is projected and compared, in blocks, with
+   the passages of the items that step 4 can keep for this document at all (a
+   bound on what step 4 counts, so it loses nothing): cosine at least ``COSINE``
+   makes it a candidate for the item. Words outside the items have no place in
+   the latent space and no weight.
 4. Candidates are checked on the whole texts and kept if they share RUN words in
    a row, or LCS_SHARE of the item as a common subsequence, or ANSWERED_SHARE of
-   it and the item's ending (its answer).
+   it and the item's ending (its answer), or, for passages reworded in part,
+   PART_SHARE of some PART_WORDS consecutive words of the item.
 
 Why no shared run of RUN words is missed: a document passage in it is word for
 word a passage of the item; equal passages have equal vectors, so their cosine is
 1 in any projection that keeps them. Rewordings are found as far as a passage of
-theirs stays within the cosine, which one with WINDOW words kept in a row does.
-
-Words are the longest runs of ASCII letters and digits, in lower case. Texts
-that are null or have fewer than WINDOW words, and such items, match nothing.
-Repeated rows and several copies of an id give one row for each (document,
-item). Items too many for one index are taken in blocks of about
-``BLOCK_WORDS`` words, each against all documents. Empty tables give no rows.
+theirs stays within the cosine.
+
+Words are the longest runs of ASCII letters and digits, in lower case; after
+step 1 they stand as 64-bit hashes. Texts that are null or have fewer than WINDOW
+words, and such items, match nothing. Repeated rows and several copies of an id
+give one row for each (document, item). Items too many for one index are taken in
+blocks of about ``BLOCK_WORDS`` words, each against all documents; the table of
+numbers serves ``GROUP_WORDS`` words of items. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +47,26 @@ from ..session import spread
 
 RUN = 20
 WINDOW = RUN // 2
+LEAST_KNOWN = WINDOW // 2
 RANK = 64
 OVERSAMPLE = 10
-COSINE = 0.9
+COSINE = 0.7
 #: An item's answer occurs if ANSWER_RUN of its last ANSWER_WORDS words stand in a row.
 ANSWER_WORDS = 12
 ANSWER_RUN = 9
 #: A candidate without a run of RUN words holds if so much of the item is a common subsequence,
-#: or the lesser share and the answer.
-LCS_SHARE = 0.6
+#: or the lesser share and the answer, or so much of a part of it.
+LCS_SHARE = 0.65
 ANSWERED_SHARE = 0.4
+PART_WORDS = 40
+PART_SHARE = 0.8
 #: Document passages compared at a time; bounds the block of cosines.
 BLOCK = 256
 #: Bounds what one index sends to executors: about 50,000 passages of RANK floats, some 15 MB.
 BLOCK_WORDS = 50_000
+#: Bounds the vocabulary of one table of numbers, and so the sums of the fit: some 120 MB at most.
+GROUP_WORDS = 200_000
+FIT_PASSAGES = 200_000
 FIT_PARTITIONS = 8
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -66,58 +78,89 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
 
 
-def _frequencies(docs: DataFrame, vocab) -> DataFrame:
-    """(w, n): documents that hold a word of the vocabulary; w '' counts all documents."""
+def word_hashes(text):
+    """The words of a text column, as :func:`words_of` gives them, hashed."""
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
 
-    def run(batches):
-        known = vocab.value
-        seen: Counter = Counter()
-        total = 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                total += 1
-                seen.update(known & set(words_of(t)))
-        yield pa.record_batch([pa.array(["", *seen]), pa.array([total, *seen.values()], pa.int64())], ["w", "n"])
 
-    return docs.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of an Arrow list column."""
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.flatten()), offsets - offsets[0]
 
 
-def _passages(texts: list[str], ids: dict[str, int]) -> np.ndarray:
-    rows = []
-    for t in texts:
-        g = [ids[w] for w in words_of(t)]
-        rows += [g[k : k + WINDOW] for k in range(len(g) - WINDOW + 1)]
-    return np.array(rows, dtype=np.int64).reshape(-1, WINDOW)
+def _numbered(docs: DataFrame, vocab) -> DataFrame:
+    """(doc_id, ids, known, n): documents with LEAST_KNOWN or more words of the vocabulary, as
+    numbers; and for each task a row without id: ids and the number n of documents with each, -1 for all documents."""
+    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("known", pa.int32()), ("n", pa.list_(pa.int64()))])
 
-
-def _fit(items: DataFrame, ids: dict[str, int], idf: np.ndarray) -> np.ndarray:
-    """Words to latent dimensions, by randomised SVD of the items' passages."""
-    spark, v = items.sparkSession, len(idf)
+    def run(batches):
+        words = vocab.value
+        v = len(words)
+        seen, total = np.zeros(v, np.int64), 0
+        for b in batches:
+            flat, at = _lists(b.column(1))
+            place = np.minimum(np.searchsorted(words, flat), v - 1)
+            ids = np.where(words[place] == flat, place, -1).astype(np.int32)
+            total += b.num_rows
+            of = np.repeat(np.arange(b.num_rows), np.diff(at))
+            here = ids >= 0
+            seen += np.bincount(np.unique(of[here] * v + ids[here]) % v, minlength=v)
+            known = np.bincount(of[here], minlength=b.num_rows).astype(np.int32)
+            made = pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(known), pa.nulls(b.num_rows, kind.field(3).type)], schema=kind)
+            yield made.filter(pa.array(known >= LEAST_KNOWN))
+        some = np.flatnonzero(seen).astype(np.int32)
+        row = [[None], [[-1, *some.tolist()]], [0], [[total, *seen[some].tolist()]]]
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(row, kind, strict=True)], schema=kind)
+
+    return docs.mapInArrow(run, "doc_id bigint, ids array<int>, known int, n array<bigint>")
+
+
+def _windows(g: np.ndarray, v: int, stride: int = 1) -> np.ndarray:
+    """Passages of a text, at least LEAST_KNOWN words of each known; unknown words become the number v."""
+    if len(g) < WINDOW:
+        return np.zeros((0, WINDOW), np.int64)
+    x = np.lib.stride_tricks.sliding_window_view(g, WINDOW)[::stride]
+    x = x[(x >= 0).sum(axis=1) >= LEAST_KNOWN]
+    return np.where(x < 0, v, x)
+
+
+def _fit(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """Words to latent dimensions, by randomised SVD of passages; ``texts`` has ids and a stride."""
+    spark, v = texts.sparkSession, len(weight)
     width = min(v, RANK + OVERSAMPLE)
-    parts = items.select("text").repartition(FIT_PARTITIONS)
-    shared = spark.sparkContext.broadcast((ids, idf))
+    parts = texts.repartition(FIT_PARTITIONS)
     cols = [f"c{i}" for i in range(width)]
     schema = "j int, " + ", ".join(f"{c} double" for c in cols)
+    idf = spark.sparkContext.broadcast(weight)
 
     def gathered(seed_or_q):
         """One pass: each task's share of X'(X M), or of the Gram matrix (XQ)'(XQ)."""
 
         def run(batches):
-            known, weight = shared.value
             first = isinstance(seed_or_q, int)
+            w = np.append(idf.value, 0.0)
             m = np.random.default_rng(seed_or_q).standard_normal((v, width)) if first else seed_or_q.value
-            m = m * weight[:, None]
-            total = np.zeros((v if first else width, width))
+            m = np.vstack([m, np.zeros((1, width))]) * w[:, None]
+            total = np.zeros((v + 1 if first else width, width))
             for b in batches:
-                at = _passages(b.column(0).to_pylist(), known)
-                for k in range(0, len(at), 4096):
-                    x = at[k : k + 4096]
-                    y = m[x].sum(axis=1)
-                    if first:
-                        for p in range(WINDOW):
-                            np.add.at(total, x[:, p], y * weight[x[:, p]][:, None])
-                    else:
-                        total += y.T @ y
+                flat, at = _lists(b.column(0))
+                strides = b.column(1).to_pylist()
+                for i in range(b.num_rows):
+                    x = _windows(flat[at[i] : at[i + 1]], v, strides[i])
+                    for k in range(0, len(x), 4096):
+                        part = x[k : k + 4096]
+                        y = m[part].sum(axis=1)
+                        if not first:
+                            total += y.T @ y
+                            continue
+                        word = part.ravel()
+                        turn = np.argsort(word, kind="stable")
+                        word = word[turn]
+                        starts = np.flatnonzero(np.diff(word, prepend=-1))
+                        total[word[starts]] += np.add.reduceat(y[turn // WINDOW] * w[word][:, None], starts, axis=0)
+            if first:
+                total = total[:v]
             yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), *(pa.array(total[:, i]) for i in range(width))], ["j", *cols])
 
         sums = parts.mapInArrow(run, schema).groupBy("j").agg(*(F.sum(c).alias(c) for c in cols)).toPandas().set_index("j").sort_index()
@@ -167,24 +210,23 @@ def common_run(a: list[int], at: dict[int, list[int]]) -> int:
 
 
 def passages_words(items: list[tuple], size: int = WINDOW) -> np.ndarray:
-    rows = [seq[k : k + size] for _, seq, _ in items for k in range(len(seq) - size + 1)]
+    rows = [seq[k : k + size] for _, seq in items for k in range(len(seq) - size + 1)]
     return np.array(rows, dtype=np.int64).reshape(-1, size)
 
 
 def owners(items: list[tuple], size: int) -> np.ndarray:
     """Place in ``items`` of each row of :func:`passages_words`."""
-    return np.concatenate([np.zeros(0, np.int64), *(np.full(max(0, len(s) - size + 1), k) for k, (_, s, _) in enumerate(items))])
+    return np.concatenate([np.zeros(0, np.int64), *(np.full(max(0, len(s) - size + 1), k) for k, (_, s) in enumerate(items))])
 
 
-def near(x: np.ndarray, latent: np.ndarray, passages: np.ndarray, owner: np.ndarray) -> set[int]:
-    """Owners of the item passages near any of the document passages ``x``."""
+def near(x: np.ndarray, latent: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """Which item passages are near any of the document passages ``x``."""
     # equal passages, in any order of their words, are compared once
     uniq = np.unique(np.sort(x, axis=1), axis=0)
-    padded = np.vstack([latent, np.zeros((1, latent.shape[1]), latent.dtype)])
     hit = np.zeros(len(passages), dtype=bool)
     for k in range(0, len(uniq), BLOCK):
-        hit |= (_unit(padded[uniq[k : k + BLOCK]].sum(axis=1)) @ passages.T).max(axis=0) >= COSINE
-    return set(owner[hit].tolist())
+        hit |= (_unit(latent[uniq[k : k + BLOCK]].sum(axis=1)) @ passages.T).max(axis=0) >= COSINE
+    return hit
 
 
 class Runs:
@@ -216,23 +258,28 @@ class Checker:
     """Word checks of one index's items against one document at a time."""
 
     def __init__(self, items: list[tuple], vocabulary: int):
-        self.items = items
+        self.items, self.vocabulary = items, vocabulary
         self.long = Runs(items, RUN)
-        self.ending = Runs([(i, s[-ANSWER_WORDS:], None) for i, s, _ in items], ANSWER_RUN)
-        self.has = np.zeros((len(items), vocabulary + 1), dtype=bool)  # the last column is for other words
-        for k, (_, s, _) in enumerate(items):
-            self.has[k, s] = True
-        self.flat = np.concatenate([np.zeros(0, np.int64), *(np.array(s, np.int64) for _, s, _ in items)])
-        self.sizes = np.array([len(s) for _, s, _ in items], np.int64)
+        self.ending = Runs([(i, s[-ANSWER_WORDS:]) for i, s in items], ANSWER_RUN)
+        self.flat = np.concatenate([np.zeros(0, np.int64), *(np.array(s, np.int64) for _, s in items)])
+        self.sizes = np.array([len(s) for _, s in items], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.part_owner = owners(items, PART_WORDS)
+        self.part_start = np.concatenate([np.zeros(0, np.int64), *(b + np.arange(max(0, n - PART_WORDS + 1)) for b, n in zip(self.starts, self.sizes, strict=True))]).astype(np.int64)
         self.masks: dict = {}
 
-    def possible(self, g: np.ndarray) -> set[int]:
-        """Items that can hold: a common subsequence is no longer than the item's words that occur at all."""
-        here = np.zeros(self.has.shape[1], dtype=bool)
-        here[g[g >= 0]] = True
-        occur = np.add.reduceat(here[self.flat], self.starts, dtype=np.int64)
+    def bounds(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each item, and of each part of an item, that occur in the document at all."""
+        here = np.zeros(self.vocabulary + 1, dtype=bool)
+        here[g] = True
+        here[-1] = False  # other words are -1
+        sums = np.concatenate([[0], np.cumsum(here[self.flat])])
+        return sums[self.starts + self.sizes] - sums[self.starts], sums[self.part_start + PART_WORDS] - sums[self.part_start]
+
+    def possible(self, g: np.ndarray, occur: np.ndarray, parts: np.ndarray) -> set[int]:
+        """Items that can hold: a common subsequence is no longer than the words that occur at all."""
         out = set(np.flatnonzero(occur >= LCS_SHARE * self.sizes).tolist())
+        out |= set(self.part_owner[parts >= PART_SHARE * PART_WORDS].tolist())
         # runs need as many words of the items in a row
         known = int(np.diff(np.flatnonzero(np.concatenate([[True], g < 0, [True]]))).max()) - 1
         if known >= RUN:
@@ -241,89 +288,109 @@ class Checker:
             out |= {k for k in self.ending.find(g) if occur[k] >= ANSWERED_SHARE * self.sizes[k]}
         return out
 
-    def check(self, g: np.ndarray, candidates: set[int]) -> list[tuple]:
+    def _of(self, k: int, at: int, size: int):
+        key = (k, at, size)
+        if key not in self.masks:
+            m: dict = {}
+            for i, w in enumerate(self.items[k][1][at : at + size]):
+                m[w] = m.get(w, 0) | (1 << i)
+            self.masks[key] = m
+        return self.masks[key]
+
+    def check(self, g: np.ndarray, candidates: set[int], occur: np.ndarray, parts: np.ndarray) -> list[tuple]:
         """(item id, longest run, lcs, item words, answer) of the candidates that hold."""
         out = []
         long, ended = self.long.find(g) & candidates, self.ending.find(g)
-        here = np.zeros(self.has.shape[1], dtype=bool)
-        here[g[g >= 0]] = True
-        words = None
+        words = g[g >= 0].tolist()  # words outside the items count for no subsequence
         for k in sorted(candidates):
-            item_id, seq, _ = self.items[k]
-            least = (ANSWERED_SHARE if k in ended else LCS_SHARE) * len(seq)
-            # a common subsequence is no longer than the item's words that occur at all
-            if k not in long and here[seq].sum() < least:
-                continue
-            if k not in self.masks:
-                m: dict = {}
-                for i, w in enumerate(seq):
-                    m[w] = m.get(w, 0) | (1 << i)
-                self.masks[k] = m, places(seq)
-            mask, at = self.masks[k]
-            words = g.tolist() if words is None else words
-            lcs = common_subsequence(g[self.has[k, g]].tolist(), mask, len(seq))
-            if k in long or lcs >= least:
-                out.append((item_id, common_run(words, at), lcs, len(seq), k in ended))
+            item_id, seq = self.items[k]
+            mask = self._of(k, 0, len(seq))
+            mine = [w for w in words if w in mask]
+            lcs = common_subsequence(mine, mask, len(seq))
+            if k in long or lcs >= (ANSWERED_SHARE if k in ended else LCS_SHARE) * len(seq) or self._part(mine, k, parts):
+                out.append((item_id, common_run(g.tolist(), places(seq)), lcs, len(seq), k in ended))
         return out
 
+    def _part(self, words: list[int], k: int, parts: np.ndarray) -> bool:
+        """Whether PART_SHARE of some PART_WORDS words of the item are a common subsequence."""
+        a, b = np.searchsorted(self.part_owner, [k, k + 1])
+        least = PART_SHARE * PART_WORDS
+        return any(common_subsequence(words, self._of(k, int(at), PART_WORDS), PART_WORDS) >= least for at in np.flatnonzero(parts[a:b] >= least))
+
 
-def _search(docs: DataFrame, index) -> DataFrame:
+def _search(numbered: DataFrame, index) -> DataFrame:
     """(doc_id, item_id, longest_run, lcs, item_words, answer) of the candidates that hold."""
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest_run", pa.int32()), ("lcs", pa.int32()), ("item_words", pa.int32()), ("answer", pa.bool_())])
 
     def run(batches):
-        ids, latent, items = index.value
-        get = ids.get
+        latent, items = index.value
+        v = len(latent)
         words, owner = passages_words(items), owners(items, WINDOW)
         passages = _unit(latent[words].sum(axis=1))
-        checker = Checker(items, len(ids)) if items else None
+        latent = np.vstack([latent, np.zeros((1, latent.shape[1]), latent.dtype)])
+        checker = Checker(items, v)
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g = np.array([get(w, -1) for w in words_of(t)], dtype=np.int64)
-                if checker is None or len(g) < WINDOW:
+            flat, at = _lists(b.column(1))
+            for n, i in enumerate(b.column(0).to_pylist()):
+                g = flat[at[n] : at[n + 1]]
+                if len(g) < WINDOW:
                     continue
-                # every position counts, so that a passage need not be aligned with anything
-                x = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-                x = x[(x >= 0).sum(axis=1) >= WINDOW - 2]
-                some = checker.possible(g) if len(x) else set()
+                occur, parts = checker.bounds(g)
+                some = checker.possible(g, occur, parts)
                 if some:
                     of = np.isin(owner, list(some))
-                    rows += [(i, *r) for r in checker.check(g, near(x, latent, passages[of], owner[of]))]
+                    found = set(owner[of][near(_windows(g, v), latent, passages[of])].tolist())
+                    rows += [(i, *r) for r in checker.check(g, found, occur, parts)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(out)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, longest_run int, lcs int, item_words int, answer boolean")
+    return numbered.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, item_id bigint, longest_run int, lcs int, item_words int, answer boolean")
+
+
+def _group(corpus: DataFrame, tests: DataFrame, work: Scratch) -> list[DataFrame]:
+    """Hits of one group of items, of at most about GROUP_WORDS words."""
+    spark, sc = corpus.sparkSession, corpus.sparkSession.sparkContext
+    rows = [(r["item_id"], np.array(r["ws"], np.int64)) for r in tests.sort("item_id", "ws").collect()]
+    vocab = np.unique(np.concatenate([np.zeros(0, np.int64), *(w for _, w in rows)]))
+    items = [(i, np.searchsorted(vocab, w).tolist()) for i, w in rows if len(w) >= WINDOW]
+    if not items:
+        return []
+    numbered, seen = work.write(_numbered(corpus, sc.broadcast(vocab)), known=F.sum("known"))
+    counts = numbered.where("doc_id is null").select(F.explode(F.arrays_zip("ids", "n")).alias("x")).groupBy("x.ids").agg(F.sum("x.n").alias("n"))
+    n = {r["ids"]: r["n"] for r in counts.collect()}  # one row a word
+    held = np.array([n.get(w, 0) for w in range(len(vocab))])
+    weight = np.log((n.get(-1, 0) + 1) / (held + 1)) + 1e-3
+    texts = numbered.where("doc_id is not null")
+    share = min(1.0, FIT_PASSAGES * WINDOW / max(1, seen["known"] or 0))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share).select("ids", F.lit(WINDOW).alias("stride"))
+    own = spark.createDataFrame([(s, 1) for _, s in items], "ids array<int>, stride int")
+    latent = (_fit(own.unionByName(sample), weight) * weight[:, None]).astype(np.float32)
+    out, block, size = [], [], 0
+    for item in [*items, None]:
+        if block and (item is None or size + len(item[1]) > BLOCK_WORDS):
+            out.append(_search(texts, sc.broadcast((latent, block))))
+            block, size = [], 0
+        if item is not None:
+            block.append(item)
+            size += len(item[1])
+    return out
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """Pairs that hold, with their evidence; see the module."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
+    work = Scratch(spark, "leaks")
     corpus = spread(docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("text is not null and doc_id is not null and text <> ''"))
-    tests = items.select(items[item_id].cast("bigint").alias("item_id"), items[item_text].alias("text")).where("text is not null and item_id is not null").distinct()
-    held, seen = Scratch(spark, "leaks").write(tests, words=F.sum(F.size(F.split("text", "[^A-Za-z0-9]+"))))
-    blocks = max(1, -(-int(seen["words"] or 0) // BLOCK_WORDS))
-    out = None
-    for block in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = [(r["item_id"], words_of(r["text"])) for r in part.sort("item_id", "text").collect()]  # at most about BLOCK_WORDS words
-        vocab = sorted({w for _, ws in rows for w in ws})
-        ids = {w: i for i, w in enumerate(vocab)}
-        counts = {r["w"]: r["n"] for r in _frequencies(corpus.select("text"), sc.broadcast(frozenset(vocab))).collect()}  # one row a word
-        total = counts.get("", 0)
-        idf = np.array([np.log((total + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in vocab])
-        kept = [(i, [ids[w] for w in ws], None) for i, ws in rows if len(ws) >= WINDOW]
-        if not kept:
-            continue
-        latent = _fit(part, ids, idf) * idf[:, None]
-        index = sc.broadcast((ids, latent, kept))
-        hits = _search(corpus, index)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return _search(corpus.limit(0), sc.broadcast(({}, np.zeros((0, 1)), [])))
+    corpus = corpus.select("doc_id", word_hashes(F.col("text")).alias("ws"))
+    tests = items.select(items[item_id].cast("bigint").alias("item_id"), word_hashes(items[item_text]).alias("ws")).where("ws is not null and item_id is not null").distinct()
+    held, seen = work.write(tests, words=F.sum(F.size("ws")))
+    groups = max(1, -(-int(seen["words"] or 0) // GROUP_WORDS))
+    found = [hits for g in range(groups) for hits in _group(corpus, held.where(F.pmod(F.xxhash64("item_id", "ws"), F.lit(groups)) == g), work)]
+    if not found:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, longest_run int, lcs int, item_words int, answer boolean")
     best = [F.max(c).alias(c) for c in ("longest_run", "lcs", "item_words", "answer")]
-    return out.groupBy("doc_id", "item_id").agg(*best)
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(*best)
 
 
 def shared_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
