@@ -6,7 +6,10 @@ target rank is all that the next pass looks into, digit after digit, until the
 value is known to the last bit or to as many bits as asked for. No pass sorts
 values, holds a group in one task or sends more than counts to another: a group
 with a third of all rows is counted in every task and only its digit counts,
-at most 2**16 for each digit followed, are brought together.
+at most 2**16 for each digit followed, are brought together. After the first
+pass the rows inside followed cells are written where they are, as integers, for
+the later passes to read; they aren't shuffled either, unless the followed cells
+are more than can be broadcast, and then by salted keys.
 
 Error. With all 64 bits the order statistics are exact. With ``bits`` of them
 the reported value is the lower edge of a cell; the true one lies in it, so for
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +35,31 @@ from ..scratch import Scratch
 
 DIGIT = 16
 #: A selection of so few (group, digit) cells is sent to all executors, some ten
-#: megabytes at most; a larger one is met by a join on the shuffled keys.
+#: megabytes at most; a larger one is met by a join on shuffled keys, with SALTS
+#: parts of each key, for one group's cell may hold a third of all rows.
 BROADCAST_CELLS = 150_000
+SALTS = 32
+
+
+def _view(kind: str):
+    """The same 64 bits as another Arrow type: nothing is parsed or copied."""
+
+    @F.arrow_udf({"bigint": "bigint", "double": "double"}[kind])
+    def same_bits(x: pa.Array) -> pa.Array:
+        return x.view(pa.int64() if kind == "bigint" else pa.float64())
+
+    return same_bits
 
 
 def order_key(x):
     """64-bit integer that orders as the double does."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x + F.lit(0.0)).cast("bigint")
+    bits = _view("bigint")(x + F.lit(0.0))
     return F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
 
 
 def from_key(k):
     """The double of an :func:`order_key`."""
-    bits = F.when(k < 0, k.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(k)
-    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    return _view("double")(F.when(k < 0, k.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(k))
 
 
 def rel_error(bits: int) -> float:
@@ -88,6 +103,15 @@ def _targets(hist: DataFrame, gs: list[str], cell: list[str], qs: list[float], f
     )
 
 
+def _inside(rows_: DataFrame, targets: DataFrame, cells: int, gs: list[str]) -> DataFrame:
+    """Rows in followed cells; ``rows_`` has a column cell."""
+    wanted = targets.select(*gs, F.col("digit").alias("cell"))
+    if cells <= BROADCAST_CELLS:
+        return rows_.join(F.broadcast(wanted), [*gs, "cell"], "left_semi")
+    every = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows_.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(every, [*gs, "cell", "salt"], "left_semi").drop("salt")
+
+
 def percentiles(df: DataFrame, group: dict, value: str, qs: list[float], bits: int = 64, nonnegative: bool = False) -> DataFrame:
     """One row per group and percentile: group columns, ``n``, ``q``, ``lower``, ``upper``, ``value``.
 
@@ -102,18 +126,13 @@ def percentiles(df: DataFrame, group: dict, value: str, qs: list[float], bits: i
     hist = rows_.groupBy(*gs, F.shiftright("key", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
     targets, seen = work.write(_targets(hist, gs, gs, qs, True), cells=F.count(F.lit(1)))
     if len(widths) > 1:
-        # only values inside followed cells go on, equal ones counted together
-        cells = targets.select(*gs, "digit")
-        if seen["cells"] <= BROADCAST_CELLS:
-            cells = F.broadcast(cells)
-        held, _ = work.write(
-            rows_.withColumn("digit", F.shiftright("key", shift)).join(cells, [*gs, "digit"], "left_semi").groupBy(*gs, "key").agg(F.count(F.lit(1)).alias("n"))
-        )
+        held, _ = work.write(_inside(rows_.withColumn("cell", F.shiftright("key", shift)), targets, seen["cells"], gs).drop("cell"))
         for width in widths[1:]:
-            at = targets.withColumnRenamed("digit", "cell")
             shift_up, shift = shift, shift - width
-            sub = held.withColumn("cell", F.shiftright("key", shift_up)).groupBy(*gs, "cell", F.shiftright("key", shift).alias("digit")).agg(F.sum("n").alias("n"))
-            targets, _ = work.write(_targets(sub.join(at, [*gs, "cell"]), gs, [*gs, "cell"], qs, False))
+            at = _inside(held.withColumn("cell", F.shiftright("key", shift_up)), targets, seen["cells"], gs)
+            sub = at.groupBy(*gs, "cell", F.shiftright("key", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+            known = targets.withColumnRenamed("digit", "cell")
+            targets, seen = work.write(_targets(sub.join(known, [*gs, "cell"]), gs, [*gs, "cell"], qs, False), cells=F.count(F.lit(1)))
     edge = from_key(F.shiftleft("digit", shift)) if shift else from_key(F.col("digit"))
     found = targets.select(*gs, "total", edge.alias("v"), F.explode("want").alias("r"), "base").withColumn("r", F.col("r") + F.col("base"))
     return _report(found.groupBy(*gs, "total").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at")), gs, list(group), qs)

@@ -31,10 +31,19 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_daily_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries of single days put together: median and 99th percentile within a relative 2**-16."""
+    """Stored summaries of single days put together: median and 99th percentile within a relative 2**-16.
+
+    Each day's histogram is written to a folder of its own; those of even and of odd
+    days are read back as two tables, merged each for itself, and then with each other.
+    """
     t, group = _timings(spark, d)
-    days = quantiles.digit_histogram(t, group | {"day": F.coalesce(F.to_date(t["logged_at"]), F.lit("1970-01-01").cast("date"))}, "iteration_secs", nonnegative=True)
-    whole = quantiles.merge_histograms([days], ["pe_id", "rank"])
+    day = F.coalesce(F.date_format("logged_at", "yyyyMMdd").cast("int"), F.lit(0))
+    days = quantiles.digit_histogram(t, group | {"day": day}, "iteration_secs", nonnegative=True)
+    path = Scratch(spark, "days").path("histograms")
+    days.repartition("day").write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    parts = [quantiles.merge_histograms([stored.where(F.pmod("day", F.lit(2)) == k)], ["pe_id", "rank"]) for k in (0, 1)]
+    whole = quantiles.merge_histograms(parts, ["pe_id", "rank"])
     p = quantiles.histogram_percentiles(whole, ["pe_id", "rank"], [0.5, 0.99])
     return p.select("pe_id", "rank", "n", "q", "lower", "upper")
 
@@ -162,4 +171,11 @@ ORACLE = {
     + ", q as (select unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::double q, unnest([1, 2, 3, 4, 5, 6, 7]) i), "
     + "g as (select pe_id, rank, count(*) n, quantile_cont(x, [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) v from t group by pe_id, rank) "
     + "select pe_id, rank, n, q.q, round(g.v[q.i], 9) as value from g cross join q",
+    # a cell keeps 16 bits of the mantissa: the order statistic, cut to so many binary places
+    "p2_daily_merge": _CLEAN
+    + """, g as (select pe_id, rank, count(*) n, list_sort(list(x)) v from t group by pe_id, rank),
+  q as (select unnest([0.5, 0.99])::double q),
+  s as (select pe_id, rank, n, q, v[cast(floor((n - 1) * q) as bigint) + 1] a, v[cast(ceil((n - 1) * q) as bigint) + 1] z from g cross join q)
+select pe_id, rank, n, q, case when a = 0 then 0.0 else floor(a * pow(2, 16 - floor(log2(a)))) * pow(2, floor(log2(a)) - 16) end as lower,
+  case when z = 0 then 0.0 else floor(z * pow(2, 16 - floor(log2(z)))) * pow(2, floor(log2(z)) - 16) end as upper from s""",
 }
