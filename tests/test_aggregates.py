@@ -22,6 +22,42 @@ def test_golden_values(spark):
     assert math.isclose(A.final(A.merge(A.partial(df.withColumn("k", F.col("v") % 7), "v", ["k"]))).first()["stddev"], 288.8194360957494)
 
 
+def test_merged_deviation_keeps_its_digits_far_from_zero(spark):
+    df = spark.range(999).select((F.col("id") % 7).alias("k"), (F.lit(1e9) + F.col("id") % 3 * 0.001).alias("v"))
+    want = df.agg(F.stddev_samp("v")).first()[0]
+    assert math.isclose(A.final(A.merge(A.partial(df, "v", ["k"]))).first()["stddev"], want, rel_tol=1e-6)
+    parts = A.partial(df.withColumn("g", F.when(F.col("k") > 3, "x")), "v", ["g", "k"])
+    got = A.final(A.merge(parts, ["g"]), "g").collect()
+    assert {r["g"] for r in got} == {None, "x"} and all(math.isclose(r["stddev"], want, rel_tol=0.01) for r in got)
+
+
+def test_exact_percentiles_with_ties_and_null_keys(spark):
+    r = random.Random(4)
+    rows = [("hot", float(r.randrange(5))) for _ in range(400)] + [(None, x) for x in (1.0, 2.0, 4.0)] + [("one", 7.0), ("hot", None), ("hot", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {x["k"]: (x["a"], x["b"]) for x in ordered.exact_percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()}
+    for k in ("hot", None, "one"):
+        xs = sorted(v for g, v in rows if g == k and v is not None and v == v)
+        for p, x in zip((0.5, 0.95), got[k], strict=True):
+            at = (len(xs) - 1) * p
+            lo, hi = xs[math.floor(at)], xs[math.ceil(at)]
+            assert math.isclose(x, lo + (hi - lo) * (at - math.floor(at)))
+
+
+def test_communication_time_is_that_of_all_pairs(spark):
+    r = random.Random(6)
+    log = [(r.choice("ABC"), r.choice(["read", "write", "process"]), float(s := r.randrange(50)), float(s + r.randrange(9)), r.choice(["d1", "d2", "d3", None]), r.choice([1, 2])) for _ in range(160)]
+    log += [("A", "read", None, 3.0, "d1", 1), ("A", "write", 1.0, None, "d1", 1)]
+    want: dict = {}
+    for a in (x for x in log if x[1] == "read" and None not in x):
+        met = [b for b in log if b[1] == "write" and None not in b and b[4:] == a[4:]]
+        for b in met or [(None, None, a[2], a[3])]:
+            k = (b[0], a[0])
+            want[k] = max(want.get(k, -99.0), max(a[3], b[3]) - max(a[2], b[2]))
+    df = spark.createDataFrame(log, "pe string, method string, start double, end double, data string, run int")
+    assert {(x["writer"], x["reader"]): x["seconds"] for x in combine.communication_time(df, within=["run"]).collect()} == want
+
+
 def test_empty_and_single(spark):
     none = numbers(spark, 0)
     one = A.one_shot(none, {"s": A.total("v"), "n": A.count(), "lo": A.smallest("v"), "hi": A.largest("v")}).first()

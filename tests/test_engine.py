@@ -72,7 +72,13 @@ def test_monitoring(spark, tmp_path):
     assert p["A"]["ranks"] == "2;10" and p["A"]["rank_count"] == 2 and p["B"]["total_count"] == 1
     assert timing.iteration_summary(df).where("pe_id = 'A' and rank = 2 and max_secs = 10").count() == 10
     assert timing.iteration_latency(df).count() == 3
-    timing.write_csv(df.select("pe_id", "rank", "instance_id", "iteration_index", "iteration_secs"), f"{tmp_path}/c/timing_iterations_runr_1.csv")
+    one = "pe_id,rank,instance_id,iteration_index,iteration_secs\nA,1,A@1,1,0.5\n"
+    (tmp_path / "t").mkdir()
+    for run in ("r1", "r10", "xr1"):
+        (tmp_path / "t" / f"timing_iterations_A_rank1_run{run}.csv").write_text(one)
+        (tmp_path / "t" / f"timing_A_rank1_run{run}.csv").write_text("pe_id,rank,count,total_secs,avg_secs\nA,1,1,0.5,0.5\n")
+    assert timing.read_timings(spark, f"{tmp_path}/t", "r1", True).count() == 1 == timing.read_timings(spark, f"{tmp_path}/t", "r1").count()
+    timing.write_csv(df.select("pe_id", "rank", "instance_id", "iteration_index", "iteration_secs"), f"{tmp_path}/c")
     out, seen = timing.instrument(df, "node")
     out.count()
     assert seen.get["rows"] == len(rows)

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from weftline.operators.hierarchy import descendants, peel
+from weftline import scratch
+from weftline.operators import hierarchy
+from weftline.operators.hierarchy import descendants, other_parents, peel
 
 
 def brute(edges):
@@ -45,10 +47,10 @@ def shapes():
 
 
 @pytest.mark.parametrize("name", list(shapes()))
-@pytest.mark.parametrize("local", [0, 50_000])
-def test_like_brute_force(spark, name, local):
+@pytest.mark.parametrize("how", [{"local_nodes": 0}, {}, {"local_nodes": 0, "hot": 20}])
+def test_like_brute_force(spark, name, how):
     edges = shapes()[name]
-    got = forest(spark, edges, local_nodes=local)
+    got = forest(spark, edges, **how)
     rows = {r["node"]: (r["generated"], r["top"], r["steps"], r["path"]) for r in got.collect()}
     want = brute(edges)
     assert rows == want
@@ -64,4 +66,19 @@ def test_descendants_are_all_pairs(spark):
 
 def test_two_parents_take_the_smallest_and_say_so(spark):
     rows = {r["node"]: r for r in forest(spark, [("a", "q"), ("a", "p"), ("b", "p")]).collect()}
+    df = spark.createDataFrame([("a", "q"), (" a", "p"), ("b", "p"), ("a", "q"), (None, "x"), ("c", "")], "c string, p string")
+    assert [tuple(r) for r in other_parents(df, "c", "p").select("node", "parent", "used").collect()] == [("a", "q", "p")]
     assert rows["a"]["parent"] == "p" and rows["a"]["n_parents"] == 2 and rows["b"]["n_parents"] == 1
+
+
+def test_long_paths_leave_the_one_task(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "LOCAL_ENTRIES", 10)
+    edges = shapes()["all"]
+    assert {r["node"]: (r["generated"], r["top"], r["steps"], r["path"]) for r in forest(spark, edges).collect()} == brute(edges)
+
+
+def test_working_tables_are_few_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_root", lambda _: f"file://{tmp_path}")
+    out = forest(spark, shapes()["all"], local_nodes=0)
+    left = [x for x in (tmp_path / "weftline").glob("*/*") if x.is_dir()]
+    assert out.count() > 0 and len(left) <= 12  # the nodes and one table a round

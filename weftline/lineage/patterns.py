@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import keyed_running
+from ..operators.ordered import running
 
 
 def single_invocation(df: DataFrame, ident: str, column: str = "derived_from") -> DataFrame:
@@ -29,7 +29,7 @@ def slide(df: DataFrame, keys: list[str], order: list[str], ident: str, width: i
 def emission_group(df: DataFrame, keys: list[str], order: list[str], emits: Column, column: str = "grp") -> DataFrame:
     """Number of the emission that takes up each input: inputs since the last emission belong to the next one."""
     marked = df.withColumn("_e", F.coalesce(emits, F.lit(False)).cast("int"))
-    run = keyed_running(marked, keys, order, {column: ("sum", "_e")})
+    run = running(marked, order, {column: ("sum", "_e")}, keys)
     return run.withColumn(column, (F.col(column) - F.col("_e")).cast("bigint"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
+from ..operators.ordered import exact_percentiles
 
 
 class Timer:
@@ -35,24 +36,24 @@ def instrument(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(o, F.count(F.lit(1)).alias("rows")), o
 
 
-def percentile(column: str, p: float) -> Column:
-    """Linear interpolation at (n - 1) * p, exact."""
-    return F.percentile(column, p)
-
-
 def latency(df: DataFrame, keys: list[str], seconds: str = "iteration_secs", prefix: str = "") -> DataFrame:
-    """total_count, total_secs, avg, min, p50, p95, max of each group; null, NaN and negative times are left out."""
+    """total_count, total_secs, avg, min, p50, p95, max of each group; null, NaN and negative times are left out.
+
+    The percentiles are exact and spread like a sort: no task holds a group's values.
+    """
     x = F.col(seconds)
     ok = df.where(x.isNotNull() & ~F.isnan(x) & (x >= 0))
-    return ok.groupBy(*keys).agg(
+    sums = ok.groupBy(*keys).agg(
         F.count(F.lit(1)).alias(f"{prefix}total_count"),
         F.sum(x).alias(f"{prefix}total_secs"),
         F.avg(x).alias(f"{prefix}avg_secs"),
         F.min(x).alias(f"{prefix}min_secs"),
-        F.percentile(x, 0.5).alias(f"{prefix}p50_secs"),
-        F.percentile(x, 0.95).alias(f"{prefix}p95_secs"),
         F.max(x).alias(f"{prefix}max_secs"),
     )
+    mid = exact_percentiles(ok, keys, seconds, {f"{prefix}p50_secs": 0.5, f"{prefix}p95_secs": 0.95}).withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = sums.join(mid, [sums[k].eqNullSafe(mid[f"_{k}"]) for k in keys])
+    order = ["total_count", "total_secs", "avg_secs", "min_secs", "p50_secs", "p95_secs", "max_secs"]
+    return both.select(*(sums[k] for k in keys), *(f"{prefix}{c}" for c in order))
 
 
 def instance_summary(df: DataFrame, seconds: str = "iteration_secs") -> DataFrame:
@@ -96,9 +97,11 @@ def process_time(log: DataFrame, keys: list[str], start: str, end: str) -> DataF
 
 
 def read_timings(spark: SparkSession, pattern: str, run_id: str, iterations: bool = False) -> DataFrame:
-    """Rows of the timing CSV files of one run, by file name."""
+    """Rows of one run's timing files, whose names end in ``_run<run id>.csv``; a folder is read with all files in it."""
     kind = "pe_id string, rank string, instance_id string, iteration_index bigint, iteration_secs double" if iterations else "pe_id string, rank string, count bigint, total_secs double, avg_secs double"
-    return spark.read.schema(kind).option("header", True).csv(pattern).where(F.col("_metadata.file_name").contains(F.lit(f"run{safe_name(run_id)}")))
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1)
+    mine = name.endswith(f"_run{safe_name(run_id)}.csv") & (F.contains(name, F.lit("_iterations_")) == F.lit(iterations))
+    return spark.read.schema(kind).option("header", True).csv(pattern).withColumn("_mine", mine).where("_mine").drop("_mine")
 
 
 def write_csv(df: DataFrame, path: str, files: int = 1) -> None:

@@ -40,24 +40,39 @@ def one_shot(df: DataFrame, aggregates: dict[str, Column], keys: list[str] = ())
 
 
 def partial(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """State (n, s, ss, lo, hi) of one column for each key: n values, sum, sum of squares, extremes."""
+    """State (n, s, m2, lo, hi) of one column for each key: n values, sum, squared deviations from their mean, extremes."""
     x = F.col(column)
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    m2 = F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0))
+    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.sum(x).alias("s"), m2.alias("m2"), F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 
 def merge(states: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """One state from many; the order of merging does not matter."""
-    cols = [F.sum("n").cast("bigint").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    return states.groupBy(*keys).agg(*cols) if keys else states.agg(*cols)
+    """One state from many; the order of merging does not matter.
+
+    Squared deviations are moved to the common mean state by state, never as a
+    difference of large sums, so values far from 0 keep their digits.
+    """
+    keys = list(keys)
+    cols = [F.sum("n").cast("bigint").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    whole = states.groupBy(*keys).agg(*cols) if keys else states.agg(*cols)
+    mean = whole.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("s") / F.nullif("n", F.lit(0))).alias("_mean"))
+    same = [states[k].eqNullSafe(mean[f"_{k}"]) for k in keys]
+    beside = states.join(mean, same) if keys else states.join(F.broadcast(mean))  # one row
+    moved = F.col("m2") + F.col("n") * F.pow(F.try_divide("s", "n") - F.col("_mean"), F.lit(2))
+    m2 = F.sum(moved).alias("m2")
+    parts = beside.groupBy(*keys).agg(m2) if keys else beside.agg(m2)
+    if not keys:
+        return whole.join(F.broadcast(parts)).select("n", "s", "m2", "lo", "hi")
+    parts = parts.select(*(F.col(k).alias(f"_{k}") for k in keys), "m2")
+    return whole.join(parts, [whole[k].eqNullSafe(parts[f"_{k}"]) for k in keys]).select(*keys, "n", "s", "m2", "lo", "hi")
 
 
 def final(states: DataFrame, *keep: str) -> DataFrame:
     """count, sum, avg, min, max and sample deviation of states; empty states are dropped."""
-    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
-    variance = F.try_divide(n * ss - s * s, n * (n - 1))
+    n, s = F.col("n"), F.col("s")
     return states.where("n > 0").select(
         *keep, n.alias("count"), s.alias("sum"), (s / n).alias("avg"), F.col("lo").alias("min"), F.col("hi").alias("max"),
-        F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("stddev"),
+        F.sqrt(F.try_divide(F.col("m2"), n - 1)).alias("stddev"),
     )
 
 
@@ -73,52 +88,8 @@ def deviation_row(df: DataFrame, column: str) -> DataFrame:
 
 
 def continuous(df: DataFrame, order: list[str], aggregates: dict[str, tuple[str, str]], keys: list[str] = ()) -> DataFrame:
-    """State after every row, in the total order given: {name: (sum|count|min|max, column)}.
+    """State after every row, in the order given, over all rows or per key: {name: (sum|count|min|max, column)}.
 
-    With keys one task holds one key's rows in order, spilling as needed; without
-    keys rows are range-sorted over all tasks (:mod:`ordered`).
-    """
-    if not keys:
-        return ordered.running(df, order, aggregates)
-    return keyed_running(df, keys, order, aggregates)
-
-
-def keyed_running(df: DataFrame, keys: list[str], order: list[str], aggregates: dict[str, tuple[str, str]], lanes: int = 64) -> DataFrame:
-    """Running aggregates per key in two levels, for keys that may hold a third of all rows.
-
-    The order's range is cut into lanes by its quantiles; a window runs inside
-    each (key, lane), and states of (key, lane) shift what comes after.
-    """
-    make = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    placed = with_lane(df, order[0], lanes)
-    w = Window.partitionBy(*keys, "_lane").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select("*", *(make[f](c).over(w).alias(k) for k, (f, c) in aggregates.items()))
-    state = placed.groupBy(*keys, "_lane").agg(*(make[f](c).alias(f"_s_{k}") for k, (f, c) in aggregates.items()))
-    past = Window.partitionBy(*keys).orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
-    fold = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    state = state.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_lane").alias("_l"), *(fold[f](f"_s_{k}").over(past).alias(f"_s_{k}") for k, (f, _) in aggregates.items()))
-    same = [local[k].eqNullSafe(state[f"_k_{k}"]) for k in keys]
-    out = local.join(state, [*same, local["_lane"] == state["_l"]])
-    for k, (f, _) in aggregates.items():
-        a, b = F.col(k), F.col(f"_s_{k}")
-        both = F.coalesce(a + b, a, b) if f in ("sum", "count") else (F.least(a, b) if f == "min" else F.greatest(a, b))
-        out = out.withColumn(k, both)
-    return out.drop("_lane", "_l", *(f"_k_{k}" for k in keys), *(f"_s_{k}" for k in aggregates))
-
-
-def with_lane(df: DataFrame, column: str, lanes: int) -> DataFrame:
-    """``_lane``: number of the quantile range of an order column; equal values share a lane.
-
-    Columns that are neither numbers nor times have one lane.
+    Rows are range-sorted over all tasks (:mod:`ordered`), so no task holds all rows, or all of a key's.
     """
-    kind = df.schema[column].dataType.simpleString()
-    if kind.startswith("timestamp") or kind == "date":
-        x = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    elif kind in ("string", "binary", "boolean") or kind.startswith(("array", "map", "struct")):
-        return df.withColumn("_lane", F.lit(0))
-    else:
-        x = F.col(column).cast("double")
-    cuts = sorted({c for c in df.select(x.alias("x")).approxQuantile("x", [i / lanes for i in range(1, lanes)], 0.01) if c == c})
-    # nulls sort first, as in the windows' order
-    lane = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + F.coalesce(x > c, F.lit(False)).cast("int")) if cuts else F.lit(0)
-    return df.withColumn("_lane", lane)
+    return ordered.running(df, order, aggregates, list(keys))

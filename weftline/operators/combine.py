@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import aggregates, ordered
+from . import ordered
 
 
 def cross_product(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def square(a: Column) -> Column:
 def ranked(df: DataFrame, order: list[str], keys: list[str] = (), column: str = "rn") -> DataFrame:
     """Position in the order, from 1, per key or over all rows; neither puts one key's rows in one task."""
     if keys:
-        return aggregates.keyed_running(df.withColumn("_one", F.lit(1)), keys, order, {column: ("count", "_one")}).drop("_one")
+        return ordered.running(df.withColumn("_one", F.lit(1)), order, {column: ("count", "_one")}, list(keys)).drop("_one")
     placed, _ = ordered.with_position(df, order, column)
     return placed.withColumn(column, F.col(column) + 1)
 
@@ -92,12 +92,28 @@ def threshold(cells: DataFrame, least: float) -> DataFrame:
     return cells.withColumn("rho", F.when(F.col("rho") < least, F.lit(0.0)).otherwise(F.col("rho")))
 
 
-def communication_time(log: DataFrame, pe: str = "pe", rank: str = "rank", method: str = "method", start: str = "start", end: str = "end", data: str = "data") -> DataFrame:
-    """Longest time between a write and the read of the same data, for each (writer, reader); reads without a write have a null writer and their own time."""
-    side = lambda m, p: log.where(F.col(method) == m).select(F.col(pe).alias(f"{p}_pe"), F.col(start).alias(f"{p}_start"), F.col(end).alias(f"{p}_end"), F.col(data).alias(f"{p}_data"))
-    r, w = side("read", "r"), side("write", "w")
-    took = F.greatest("w_end", "r_end") - F.greatest("r_start", "w_start")
-    return r.join(w, r["r_data"] == w["w_data"], "left").groupBy(F.col("w_pe").alias("writer"), F.col("r_pe").alias("reader")).agg(F.max(took).alias("seconds"))
+def communication_time(log: DataFrame, pe: str = "pe", method: str = "method", start: str = "start", end: str = "end", data: str = "data", within: list[str] = ()) -> DataFrame:
+    """Longest time between a write and a read of the same data, for each (writer, reader): seconds and number of data.
+
+    The time of two calls is the later end less the later start. Its greatest value
+    over all pairs needs no pairs: a call meets, of each node on the other side, only
+    that node's earliest start. Reads of data nobody wrote have a null writer and
+    their own time. Calls without start, end or data are left out; ``within`` are
+    columns, as a run's id, inside which data are the same.
+    """
+    key = [f"_k{i}" for i in range(len(within) + 1)]
+    s, e = F.col(start), F.col(end)
+    calls = log.select(*(F.col(c).alias(k) for c, k in zip([*within, data], key, strict=True)), F.col(pe).alias("_pe"), F.col(method).alias("_m"), s.alias("_s"), e.alias("_e"))
+    calls = calls.dropna(subset=[*key, "_s", "_e"])
+
+    def side(kind: str, other: str, mine: str, its: str, how: str) -> DataFrame:
+        first = calls.where(F.col("_m") == other).groupBy(*key, F.col("_pe").alias(its)).agg(F.min("_s").alias("_f"))
+        met = calls.where(F.col("_m") == kind).withColumnRenamed("_pe", mine).join(first, key, how)
+        return met.select(*key, "writer", "reader", (F.col("_e") - F.greatest("_s", "_f")).alias("_t"))
+
+    both = side("read", "write", "reader", "writer", "left").unionByName(side("write", "read", "writer", "reader", "inner"))
+    each = both.groupBy(*key, "writer", "reader").agg(F.max("_t").alias("_t"))
+    return each.groupBy("writer", "reader").agg(F.max("_t").alias("seconds"), F.count(F.lit(1)).alias("data"))
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ Every round peels the leaves *together with the unbranched runs that end in
 them*, so a round removes at least half of the leaves' branch points and the
 number of rounds follows the logarithm of the forest's size, not its depth: a
 chain of a million links goes in one round. Runs are ranked by pointer doubling
-over one-to-one links (a node's only child), so no join key is ever hot there.
+over one-to-one links (a node's only child), so no join key is ever hot there;
+where many runs meet one node, or many nodes one run, the key is salted (``HOT``).
 A peeled run sends its subtree size to the node above it. What can never be
 peeled is exactly the nodes on cycles. Reverse peel order then hands depth,
 root and path down, from each node to the runs that hung below it.
@@ -20,8 +21,8 @@ Results, one row per node:
 
 Null and empty names (after trimming blanks) are no names; a row with only one
 name still makes that name a node. Repeated edges count once. Should a child
-have several parents, the smallest name is used and ``n_parents`` says so. An
-empty table gives no rows. Columns other than the two named are ignored, so
+have several parents, the smallest name is used, ``n_parents`` says so, and
+:func:`other_parents` lists the links not taken. An empty table gives no rows. Columns other than the two named are ignored, so
 their names can't clash.
 """
 
@@ -40,6 +41,11 @@ HOPS = 3
 #: So few nodes left are peeled to the end in one task, some megabytes whatever
 #: their shape; more go on in rounds over all executors. Both give the same rows.
 LOCAL_NODES = 50_000
+#: With paths that holds only while these have so few entries in all.
+LOCAL_ENTRIES = 5_000_000
+#: Nodes with more children, and runs of more nodes, are met by SALTS parts of their key.
+HOT = 1_000_000
+SALTS = 64
 
 
 def clean_name(col):
@@ -68,8 +74,25 @@ def nodes_of(edges: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
-def _runs(active: DataFrame, work: Scratch) -> tuple[DataFrame, int]:
-    """Rank all unbranched runs that end in a leaf, (node, parent, leaf, pos, size); and count their nodes."""
+def other_parents(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, parent, used): links of children with several parents that :func:`peel` does not follow, and the parent it uses."""
+    pair = edges.select(clean_name(edges[child]).alias("node"), clean_name(edges[parent]).alias("parent")).dropna().distinct()
+    used = pair.groupBy("node").agg(F.min("parent").alias("used"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return pair.join(used, "node").where("parent <> used")
+
+
+def _meet(left: DataFrame, key, right: DataFrame, at: str, hot: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join where ``key`` of the left, of which many rows may hold one of the ``hot`` names, is ``at`` of the right, which is unique."""
+    if not hot:
+        return left.join(right, key == F.col(at), how)
+    salt = F.when(key.isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(F.col(at).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a, b = left.withColumn("_salt", salt), right.withColumn("_part", F.explode(parts))
+    return a.join(b, (key == F.col(at)) & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
+
+
+def _runs(active: DataFrame, work: Scratch) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Rank all unbranched runs that end in a leaf, (node, parent, leaf, pos, size); count their nodes; name the tables read."""
     kids = active.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("only"))
     links = (
         active.join(kids.withColumnRenamed("parent", "k"), F.col("node") == F.col("k"), "left")
@@ -78,12 +101,12 @@ def _runs(active: DataFrame, work: Scratch) -> tuple[DataFrame, int]:
     )
     settled_live = {"live": F.count_if(F.col("nxt").isNotNull()), "done": F.count_if(F.col("nxt").isNull())}
     state, seen = work.write(links, **settled_live)
-    settled, peeled = [], 0
+    settled, peeled, held = [], 0, [state]
     while True:
         settled.append(state.where("nxt is null").drop("nxt"))
         peeled += seen["done"]
         if not seen["live"]:
-            return reduce(DataFrame.unionByName, settled), peeled
+            return reduce(DataFrame.unionByName, settled), peeled, held
         live = state.where("nxt is not null")
         # what a pointer can land on: all rows still held, settled in this or any earlier step
         known = reduce(DataFrame.unionByName, [x.withColumn("nxt", F.lit(None).cast("string")) for x in settled] + [live])
@@ -101,8 +124,9 @@ def _runs(active: DataFrame, work: Scratch) -> tuple[DataFrame, int]:
             )
         before = seen["live"]
         state, seen = work.write(step, **settled_live)
+        held.append(state)
         if seen["live"] == before:  # nothing reached a leaf, nothing fell away: only cycles go on
-            return reduce(DataFrame.unionByName, settled), peeled
+            return reduce(DataFrame.unionByName, settled), peeled, held
 
 
 def _finish(batches, with_path: bool):
@@ -183,19 +207,30 @@ def _chains(runs: DataFrame) -> DataFrame:
     return top.select("leaf", F.col("h.node").alias("head"), F.col("h.parent").alias("over"), F.col("h.size").alias("total"), F.col("h.pos").alias("length"))
 
 
-def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False, local_nodes: int = LOCAL_NODES) -> DataFrame:
+def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False, local_nodes: int = LOCAL_NODES, hot: int = HOT) -> DataFrame:
     """Full hierarchy of ``edges``; see the module for columns and edge cases."""
     work = Scratch(edges.sparkSession, "peel")
     nodes, seen = work.write(nodes_of(edges, child, parent), n=rows(edges))
     active, left = nodes.select("node", "parent", F.lit(1).cast("bigint").alias("w")), seen["n"]
-    rounds: list[DataFrame] = []
+    # at most one name in ``hot`` nodes
+    hubs = [r["parent"] for r in nodes.where("parent is not null").groupBy("parent").count().where(F.col("count") > hot).collect()] if left > hot else []
+    rounds: list[tuple[DataFrame, DataFrame, list[DataFrame], list[str]]] = []
     old = None
-    while left > local_nodes:
-        runs, peeled = _runs(active, work)
+    local = None
+    while left:
+        if left <= local_nodes and local is None:
+            local = _local(active, work, with_path)
+            if local is not None:
+                break
+            local_nodes = 0
+        runs, peeled, held = _runs(active, work)
         if not peeled:
+            work.drop(*held)
             break
-        rounds.append(runs)
-        gain = _chains(runs).where("over is not null").groupBy("over").agg(F.sum("total").alias("gain"))
+        chains, seen = work.write(_chains(runs), longest=F.max("length"))
+        long = [r["leaf"] for r in chains.where(F.col("length") > hot).collect()] if seen["longest"] > hot else []
+        rounds.append((runs, chains, held, long))
+        gain = chains.where("over is not null").groupBy("over").agg(F.sum("total").alias("gain"))
         rest = (
             active.join(runs.select("node"), "node", "left_anti")
             .join(gain, F.col("node") == F.col("over"), "left")
@@ -208,16 +243,16 @@ def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False, loc
     null = F.lit(None)
     path0 = [null.cast("array<string>").alias("path")] if with_path else []
     known: list[DataFrame] = []
-    if 0 < left <= local_nodes:
-        kind = "node string, top string, steps bigint, size bigint" + ", path array<string>" * with_path
-        known.append(work.write(active.coalesce(1).mapInArrow(lambda it: _finish(it, with_path), kind))[0])
+    if local is not None:
+        known.append(local)
     elif left:  # what no peeling removes lies on cycles
-        known.append(_cycles(active, work).select("node", "top", F.lit(-1).cast("bigint").alias("steps"), null.cast("bigint").alias("size"), *path0))
-    for runs in reversed(rounds):
-        chains = _chains(runs)
+        known.append(work.write(_cycles(active, work).select("node", "top", F.lit(-1).cast("bigint").alias("steps"), null.cast("bigint").alias("size"), *path0))[0])
+    work.drop(old)
+    # rounds shrink by a constant factor, so reading all later ones in each adds up to a few times all nodes
+    for runs, chains, held, long in reversed(rounds):
         if known:
             above = reduce(DataFrame.unionByName, known).select(F.col("node").alias("u"), F.col("top").alias("utop"), F.col("steps").alias("usteps"), *([F.col("path").alias("upath")] if with_path else []))
-            at = chains.join(above, F.coalesce("over", "head") == F.col("u"), "left")
+            at = _meet(chains, F.coalesce("over", "head"), above, "u", hubs, "leaf", "left")
         else:
             at = chains.select("*", null.cast("string").alias("utop"), null.cast("bigint").alias("usteps"), *([null.cast("array<string>").alias("upath")] if with_path else []))
         at = at.select(
@@ -228,19 +263,32 @@ def peel(edges: DataFrame, child: str, parent: str, with_path: bool = False, loc
             *([F.coalesce("upath", F.array().cast("array<string>")).alias("upath")] if with_path else []),
         )
         cols = ["node", "top", F.when(F.col("base") < 0, F.lit(-1)).otherwise(F.col("base") + F.col("length") - F.col("pos")).cast("bigint").alias("steps"), "size"]
+        below = runs
         if with_path:
             run = Window.partitionBy("leaf").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-            named = runs.withColumn("part", F.collect_list("node").over(run))
-            done = named.join(at, F.col("leaf") == F.col("l")).select(*cols, F.when(F.col("base") >= 0, F.concat("upath", "part")).alias("path"))
-        else:
-            done = runs.join(at, F.col("leaf") == F.col("l")).select(*cols)
-        known.append(work.write(done)[0])
+            below = runs.withColumn("part", F.collect_list("node").over(run))
+            cols.append(F.when(F.col("base") >= 0, F.concat("upath", "part")).alias("path"))
+        known.append(work.write(_meet(below, F.col("leaf"), at, "l", long, "node").select(*cols))[0])
+        work.drop(chains, *held)
     out = nodes.select("node", "parent", "generated", "n_parents")
     if not known:
         return out.select("*", null.cast("string").alias("top"), null.cast("bigint").alias("steps"), null.cast("bigint").alias("subtree_size"), *path0)
     return out.join(reduce(DataFrame.unionByName, known).withColumnRenamed("size", "subtree_size"), "node")
 
 
+def _local(active: DataFrame, work: Scratch, with_path: bool) -> DataFrame | None:
+    """The rest peeled in one task; None if paths would be more than LOCAL_ENTRIES entries."""
+    one = active.coalesce(1)
+    kind = "node string, top string, steps bigint, size bigint"
+    plain, seen = work.write(one.mapInArrow(lambda it: _finish(it, False), kind), entries=F.sum(F.greatest("steps", F.lit(0)) + 1))
+    if not with_path:
+        return plain
+    work.drop(plain)
+    if seen["entries"] > LOCAL_ENTRIES:
+        return None
+    return work.write(one.mapInArrow(lambda it: _finish(it, True), kind + ", path array<string>"))[0]
+
+
 def descendants(forest: DataFrame) -> DataFrame:
     """(ancestor, descendant, steps): every descendant of every node, one row each.
 

@@ -10,8 +10,8 @@ the rows; it stitches those and coalesces. Gaps work alike: inside a shard by
 the next period, between shards by one row for each shard.
 
 Result: the key columns, ``span`` (``period`` or ``gap``), ``from_ms``, ``to_ms``.
-Rows with a null key column or bound, a bound that is not finite, or an end not
-after the start are no intervals. Times are seconds * 1000, rounded; an interval
+Rows with a null key column or bound, a bound that is not finite or whose
+milliseconds do not fit 64 bits, or an end not after the start are no intervals. Times are seconds * 1000, rounded; an interval
 that rounds to nothing is none either. Touching intervals join. Repeated rows
 change nothing; an entity without intervals has no rows. Other columns of the
 input are ignored, whatever their names.
@@ -28,6 +28,9 @@ from ..scratch import Scratch
 #: entity of a busy log at some thousands of rows a shard.
 SHARD_MS = 3_600_000
 
+#: Just under the greatest 64-bit number, less a shard for its edges.
+MOST_MS = 9.2e18
+
 
 def _shard(col: str, width: int):
     """Number of the shard that holds a time, rounding down for times before 1970 too."""
@@ -52,7 +55,7 @@ def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, shard_m
     work = Scratch(df.sparkSession, "intervals")
     ks = [f"k{i}" for i in range(len(keys))]
     s, e = df[start].cast("double"), df[end].cast("double")
-    ok = (e > s) & ~F.isnan(e) & (F.abs(s) < 9.0e14) & (F.abs(e) < 9.0e14)
+    ok = (e > s) & ~F.isnan(e) & (F.abs(s * 1000) < MOST_MS) & (F.abs(e * 1000) < MOST_MS)
     for k in keys:
         ok = ok & df[k].isNotNull()
     placed = (

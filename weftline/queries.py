@@ -179,6 +179,26 @@ def agg_partial_final_avg(s, d):
     return agg.final(agg.merge(parts)).select(F.round("avg", 6).alias("a"), F.col("count").alias("n"), F.round("sum", 2).alias("s"))
 
 
+@query(
+    "select count(l_extendedprice) n, round(stddev_samp(l_extendedprice),6) sd, min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem"
+)
+def agg_parallel_std_dev_min_max(s, d):
+    """Through states of each supplier, merged."""
+    x = agg.final(agg.merge(agg.partial(table(s, d, "lineitem"), "l_extendedprice", ["l_suppkey"])))
+    return x.select(F.col("count").alias("n"), F.round("stddev", 6).alias("sd"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+@query(
+    "select l_returnflag, count(l_tax) n, round(sum(l_tax),4) s, round(stddev_samp(l_tax + 1e6),6) sd, min(l_tax + 1e6) lo, max(l_tax + 1e6) hi from lineitem group by l_returnflag"
+)
+def agg_parallel_grouped(s, d):
+    """States of (flag, supplier) merged by flag, of values far from 0 with a small spread."""
+    t = table(s, d, "lineitem").withColumn("far", F.col("l_tax") + 1e6)
+    x = agg.final(agg.merge(agg.partial(t, "far", ["l_returnflag", "l_suppkey"]), ["l_returnflag"]), "l_returnflag")
+    tax = agg.final(agg.merge(agg.partial(t, "l_tax", ["l_returnflag", "l_suppkey"]), ["l_returnflag"]), "l_returnflag").select("l_returnflag", F.round("sum", 4).alias("s"))
+    return x.join(tax, "l_returnflag").select("l_returnflag", F.col("count").alias("n"), "s", F.round("stddev", 6).alias("sd"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
 @query("select l_returnflag, l_linestatus, round(avg(l_quantity),6) a, count(*) n from lineitem group by l_returnflag, l_linestatus")
 def agg_grouped_avg(s, d):
     x = agg.average_row(table(s, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
@@ -331,35 +351,27 @@ _IO = "nullif(regexp_extract(io_data, '''(d[0-9]+)''', 1), '')"
 
 
 @query(
-    f"with l as (select run_id, pe, rank, method, t_start s, t_end e, {_IO} did from timing_log where run_id is not null), "
-    "w as (select run_id, did, pe, max(e) we, max(s) ws from l where method = 'write' and did is not null group by 1, 2, 3), "
-    "r as (select run_id, did, pe, max(e) re, max(s) rs from l where method = 'read' and did is not null group by 1, 2, 3) "
-    "select r.pe reader, w.pe writer, round(max(greatest(we, re) - greatest(rs, ws)), 3) longest_secs, count(*) n from r left join w on r.run_id = w.run_id and r.did = w.did group by 1, 2"
+    f"with l as (select run_id, pe, method, t_start s, t_end e, {_IO} did from timing_log where run_id is not null and t_start is not null and t_end is not null), "
+    "w as (select * from l where method = 'write' and did is not null), r as (select * from l where method = 'read' and did is not null), "
+    "p as (select r.run_id, r.did, r.pe reader, w.pe writer, greatest(r.e, w.e) - greatest(r.s, w.s) t from r left join w on r.run_id = w.run_id and r.did = w.did), "
+    "g as (select run_id, did, reader, writer, max(t) t from p group by all) "
+    "select reader, writer, round(max(t), 3) longest_secs, count(*) n from g group by 1, 2"
 )
 def communication_log(s, d):
-    """Longest time between write and read of a datum in a run, by writer and reader node.
-
-    Calls of one node on one datum are first put together, so no datum's rows pair up unbounded.
-    """
-    log = table(s, d, "timing_log").where("run_id is not null")
-    did = F.nullif(F.regexp_extract("io_data", r"'(d[0-9]+)'", 1), F.lit(""))
-    calls = log.select("run_id", did.alias("did"), "pe", "method", "t_start", "t_end").where("did is not null and method in ('read', 'write')")
-    one = calls.groupBy("run_id", "did", "pe", "method").agg(F.max("t_end").alias("e"), F.max("t_start").alias("s"))
-    r = one.where("method = 'read'").select("run_id", "did", F.col("pe").alias("reader"), F.col("e").alias("re"), F.col("s").alias("rs"))
-    w = one.where("method = 'write'").select("run_id", "did", F.col("pe").alias("writer"), F.col("e").alias("we"), F.col("s").alias("ws"))
-    took = F.greatest("we", "re") - F.greatest("rs", "ws")
-    took = F.when(F.col("we").isNotNull() | F.col("ws").isNotNull() | F.col("re").isNotNull(), took)
-    return r.join(w, ["run_id", "did"], "left").groupBy("reader", "writer").agg(F.round(F.max(took), 3).alias("longest_secs"), F.count(F.lit(1)).alias("n"))
+    """Longest time between write and read of a datum in a run, by writer and reader node."""
+    log = table(s, d, "timing_log").withColumn("did", F.nullif(F.regexp_extract("io_data", r"'(d[0-9]+)'", 1), F.lit("")))
+    x = combine.communication_time(log, start="t_start", end="t_end", data="did", within=["run_id"])
+    return x.select("reader", "writer", F.round("seconds", 3).alias("longest_secs"), F.col("data").alias("n"))
 
 
 @query(
     "with t as (select trim(pe_id) pe_id, rank, iteration_secs x from iteration_timing where iteration_secs is not null and not isnan(iteration_secs) and iteration_secs >= 0) "
-    "select pe_id, cast(count(distinct rank) as integer) rank_count, count(*) total_count, round(sum(x), 3) total_secs, round(quantile_cont(x, 0.95), 9) p95_secs, max(x) max_secs from t group by pe_id"
+    "select pe_id, cast(count(distinct rank) as integer) rank_count, coalesce(array_to_string(list_sort(list(distinct rank) filter (rank is not null)), ';'), '') ranks, count(*) total_count, round(sum(x), 3) total_secs, round(quantile_cont(x, 0.95), 9) p95_secs, max(x) max_secs from t group by pe_id"
 )
 def monitor_pe_summary(s, d):
     t = table(s, d, "iteration_timing").withColumn("pe_id", F.trim("pe_id")).where("iteration_secs is not null and not isnan(iteration_secs) and iteration_secs >= 0")
     x = timing.pe_summary(t)
-    return x.select("pe_id", "rank_count", "total_count", F.round("total_secs", 3).alias("total_secs"), F.round("p95_secs", 9).alias("p95_secs"), "max_secs")
+    return x.select("pe_id", "rank_count", "ranks", "total_count", F.round("total_secs", 3).alias("total_secs"), F.round("p95_secs", 9).alias("p95_secs"), "max_secs")
 
 
 @query(
