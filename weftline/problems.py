@@ -54,6 +54,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shredded(name: str):
+    """One of the flat tables of all payloads."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         return shred.tables(table(spark, d, "prov_json"), "prov_doc_id", "payload")[name]
 
@@ -91,6 +93,8 @@ QUERIES = {
     "p4_prefixes": _shredded("prefixes"),
     "p4_records": _shredded("records"),
     "p4_attributes": _shredded("attributes"),
+    "p4_values": _shredded("values"),
+    "p4_stray": _shredded("stray"),
     "p4_rejected": p4_rejected,
     "p5_found": p5_found,
     "p5_utilisation": p5_utilisation,
@@ -121,7 +125,56 @@ s as (select run_id, pe, rank, 'period' span, a from_ms, z to_ms from p
   union all select * from (select run_id, pe, rank, 'gap', z, lead(a) over (partition by run_id, pe, rank order by a) n from p) where n is not null)
 """
 
+# every JSON value of every payload that counts, with the labels of a depth-first walk: the r-th value in
+# depth-first order at depth h comes after r openings and r - h closings
+NODES_SQL = """
+with recursive u(doc_id, variant, x) as (
+  select distinct prov_doc_id, md5(payload), regexp_replace(payload, '^[\\s\\x{FEFF}]+|[\\s\\x{FEFF}]+$', '', 'g') from prov_json where payload is not null and prov_doc_id is not null
+  union all
+  select doc_id, variant, regexp_replace(json_extract_string(x, '$'), '^[\\s\\x{FEFF}]+|[\\s\\x{FEFF}]+$', '', 'g') from u where json_valid(x) and json_type(x) = 'VARCHAR'),
+docs as (select doc_id, variant, x from u where json_valid(x) and json_type(x) = 'OBJECT'),
+tree as (select d.doc_id, d.variant, t.id, t.parent, t.key, t.value, t.type, row_number() over (partition by d.doc_id, d.variant order by t.id) - 1 r from docs d, json_tree(d.x) t),
+place as (select *, row_number() over (partition by doc_id, variant, parent order by id) - 1 i from tree),
+k(doc_id, variant, id, r, h, kind, name, rec_type, no, bundle_id, rec, above, value, type, up) as (
+  select doc_id, variant, id, r, cast(0 as bigint), 'document', '', cast(null as varchar), cast(null as bigint), '', cast(null as bigint), cast(null as bigint), value, type, [id] from place where parent is null
+  union all
+  select p.doc_id, p.variant, p.id, p.r, k.h + 1,
+    case when k.kind = 'document' then case when p.type = 'OBJECT' then 'section' else 'stray' end
+      when k.kind = 'bundle' then case when p.type = 'OBJECT' and p.key <> 'bundle' then 'section' else 'stray' end
+      when k.kind = 'section' then case when k.rec_type in ('bundle', 'prefix') then k.rec_type when p.type = 'ARRAY' then 'list' else 'record' end
+      when k.kind = 'list' then case when k.rec is null then 'record' else 'attribute' end
+      when k.kind = 'record' and k.type = 'OBJECT' then case when p.type = 'ARRAY' then 'list' else 'attribute' end
+      else 'value' end,
+    case when k.kind = 'list' then k.name when k.type = 'ARRAY' then '' else p.key end,
+    case when k.kind in ('document', 'bundle') then p.key when k.kind in ('section', 'list') then k.rec_type end,
+    case when k.type = 'ARRAY' then p.i when k.kind in ('section', 'record') then 0 end,
+    case when k.kind = 'bundle' then k.name else k.bundle_id end,
+    case when k.kind = 'record' then 2 * k.r - k.h else k.rec end, 2 * k.r - k.h,
+    p.value, p.type, list_append(k.up, p.id)
+  from place p join k on p.doc_id = k.doc_id and p.variant = k.variant and p.parent = k.id),
+sizes as (select doc_id, variant, a id, count(*) n from (select doc_id, variant, unnest(up) a from k) group by all),
+lit as (select *, case when type = 'OBJECT' then json_extract(value, '$."$"') end inner_value from k),
+node as (select l.doc_id, l.variant, l.kind, cast(2 * r - h as integer) pre, cast(2 * r - h + 2 * n - 1 as integer) post, bundle_id, cast(rec as integer) rec_pre, l.name, rec_type, cast(no as integer) no, cast(h as integer) depth, cast(above as integer) parent_pre, l.type in ('OBJECT', 'ARRAY') nested,
+  coalesce(inner_value, l.value) v, json_type(coalesce(inner_value, l.value)) vt,
+  case when inner_value is not null then case when json_type(l.value, '$.type') = 'VARCHAR' then json_extract_string(l.value, '$.type') else 'literal' end end lt,
+  case when inner_value is not null and json_type(l.value, '$.lang') = 'VARCHAR' then json_extract_string(l.value, '$.lang') end lang
+  from lit l join sizes s on s.doc_id = l.doc_id and s.variant = l.variant and s.id = l.id),
+n as (select doc_id, variant, kind, pre, post, bundle_id, rec_pre, name, rec_type, no, lang, depth, parent_pre, nested,
+  case when vt = 'NULL' then null when vt = 'VARCHAR' then json_extract_string(v, '$') else cast(v as varchar) end as value,
+  coalesce(lt, case when vt = 'NULL' then 'null' when vt = 'VARCHAR' then 'string' when vt = 'BOOLEAN' then 'boolean' when vt in ('OBJECT', 'ARRAY') then 'json' else 'number' end) value_type from node)
+"""
+
 ORACLE = {
+    "p4_found": NODES_SQL + "select distinct doc_id prov_doc_id, bundle_id, rec_type, name rec_id, no rec_no from n where kind in ('record', 'prefix')",
+    "p4_documents": NODES_SQL + "select doc_id, variant, pre, post from n where kind = 'document'",
+    "p4_bundles": NODES_SQL + "select doc_id, variant, pre, post, name bundle_id from n where kind = 'bundle'",
+    "p4_prefixes": NODES_SQL + "select doc_id, variant, pre, post, bundle_id, name prefix, value uri from n where kind = 'prefix'",
+    "p4_records": NODES_SQL + "select doc_id, variant, pre, post, bundle_id, rec_type, name rec_id, no rec_no from n where kind = 'record'",
+    "p4_attributes": NODES_SQL + "select doc_id, variant, pre, post, bundle_id, rec_pre, name, no attr_no, value, value_type, lang from n where kind = 'attribute'",
+    "p4_values": NODES_SQL
+    + "select doc_id, variant, pre, post, bundle_id, rec_pre, parent_pre, depth, name, no as place, case when not nested then value end as value, case when not nested then value_type end value_type from n where kind = 'value'",
+    "p4_stray": NODES_SQL + "select doc_id, variant, pre, post, bundle_id, name, value, value_type from n where kind = 'stray'",
+    "p4_rejected": NODES_SQL + "select distinct prov_doc_id doc_id from prov_json where prov_doc_id is not null and prov_doc_id not in (select doc_id from docs)",
     "p1_found": _WALK + "select node entity, top_entity, steps from fin where (steps >= 25 or steps = -1) and node in (select c from e)",
     "p1_hierarchy": _WALK
     + """, sizes as (select cur, count(*) n from w where not looped group by cur)

@@ -10,6 +10,7 @@ from .monitor import timing
 from .operators import aggregates as agg
 from .operators import basic, combine, routing
 from .plans.graph import Graph, Node
+from .problems import NODES_SQL
 from .session import table
 
 QUERIES: dict = {}
@@ -298,8 +299,9 @@ def prov_cluster_summary(s, d):
 
 @query("select user_id id, string_agg(distinct event_type, ';' order by event_type) types from events group by user_id")
 def prov_unified(s, d):
-    n = _events(s, d).select(F.col("user_id").alias("id"), F.create_map(F.lit("type"), F.col("event_type")).alias("attrs"))
-    return prov.unified(n, ["id"]).select("id", F.element_at("attrs", "type").alias("types"))
+    kind = F.struct(F.lit("type").alias("name"), F.lit(0).alias("no"), F.col("event_type").alias("value"), F.lit("string").alias("type"), F.lit(None).cast("string").alias("lang"))
+    n = _events(s, d).select(F.col("user_id").alias("id"), F.array(kind).alias("attrs"))
+    return prov.unified(n, ["id"]).select("id", F.array_join(F.transform("attrs", lambda a: a["value"]), ";").alias("types"))
 
 
 @query("select event_id, (value > 100) as transfer from events")
@@ -383,17 +385,61 @@ def monitor_instance_summary(s, d):
     return x.select("pe_id", "rank", "total_count", F.round("avg_secs", 9).alias("avg_secs"), "min_secs", F.round("p50_secs", 9).alias("p50_secs"), "max_secs")
 
 
-@query()
+def _formal() -> str:
+    """SQL rows (kind, pos, attr, node): formal attributes in order, and the kind of node the ends are."""
+    rows = [(k, i + 1, a, "") for k, v in prov.ELEMENTS.items() for i, a in enumerate(v)]
+    rows += [(k, i + 1, a, (x, y)[i] if i < 2 else "") for k, (v, x, y) in prov.RELATIONS.items() for i, a in enumerate(v)]
+    return ", ".join(f"('{k}', {i}, '{a}', '{n}')" for k, i, a, n in rows)
+
+
+_PROV_SQL = (
+    NODES_SQL
+    + f""", formal(kind, pos, attr, node) as (values {_formal()}),
+verbs as (select distinct kind from formal where node <> ''),
+rec as (select doc_id, variant, pre, bundle_id bundle, rec_type kind, name id from n where kind = 'record'),
+att as (select doc_id, variant, rec_pre pre, name, no, value, value_type, lang from n where kind = 'attribute'),
+held as (select distinct doc_id, variant, pre, name, value from att where value is not null),
+edge as (select r.*, a.value src, b.value dst from rec r
+  join formal f on f.kind = r.kind and f.pos = 1 and f.node <> '' join formal g on g.kind = r.kind and g.pos = 2
+  left join held a on a.doc_id = r.doc_id and a.variant = r.variant and a.pre = r.pre and a.name = f.attr
+  left join held b on b.doc_id = r.doc_id and b.variant = r.variant and b.pre = r.pre and b.name = g.attr),
+elem as (select * from rec where kind in ('entity', 'activity', 'agent'))
+"""
+)
+
+
+@query(_PROV_SQL + "select distinct cast(doc_id as varchar) doc, bundle, kind, id, src, dst from edge")
 def prov_edges(s, d):
     return prov.from_payloads(table(s, d, "prov_json"), "prov_doc_id", "payload")[1].select("doc", "bundle", "kind", "id", "src", "dst").distinct()
 
 
-@query()
+@query(
+    _PROV_SQL
+    + """, quoted as (select *, '"' || replace(replace(replace(replace(coalesce(value, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"' q from att),
+spelt as (select *, case when lang is not null then q || '@' || lang when value_type in ('string', 'literal', 'null', 'json') then q
+  else q || ' %% ' || case value_type when 'number' then case when contains(value, '.') or contains(value, 'e') then 'xsd:double' else 'xsd:int' end when 'boolean' then 'xsd:boolean' else value_type end end l from quoted),
+extra as (select r.doc_id, r.variant, r.pre, ', [' || string_agg(l.name || '=' || l.l, ', ' order by l.name, l.no) || ']' x
+  from rec r join spelt l on l.doc_id = r.doc_id and l.variant = r.variant and l.pre = r.pre
+  where not exists (select 1 from formal f where f.kind = r.kind and f.attr = l.name) group by all),
+args as (select r.doc_id, r.variant, r.pre, string_agg(', ' || coalesce(a.value, '-'), '' order by f.pos) g
+  from rec r join formal f on f.kind = r.kind and (f.pos > 2 or r.kind not in (select kind from verbs))
+  left join att a on a.doc_id = r.doc_id and a.variant = r.variant and a.pre = r.pre and a.name = f.attr and a.no = 0 group by all),
+rows as (select doc_id, variant, pre, bundle, kind, id as head from elem
+  union all select doc_id, variant, pre, bundle, kind, case when id like '\\_:%' escape '\\' then '' else id || '; ' end || coalesce(src, '-') || ', ' || coalesce(dst, '-') from edge)
+select cast(r.doc_id as varchar) doc, bundle, kind || '(' || head || coalesce(g, '') || coalesce(x, '') || ')' line from rows r
+  left join args a on a.doc_id = r.doc_id and a.variant = r.variant and a.pre = r.pre left join extra e on e.doc_id = r.doc_id and e.variant = r.variant and e.pre = r.pre"""
+)
 def prov_n_lines(s, d):
     return prov.prov_n(*prov.from_payloads(table(s, d, "prov_json"), "prov_doc_id", "payload"))
 
 
-@query()
+@query(
+    _PROV_SQL
+    + """, known as (select distinct doc_id, id, kind from elem),
+implied as (select distinct e.doc_id, case f.pos when 1 then src else dst end id, f.node kind from edge e join formal f on f.kind = e.kind and f.node <> '')
+select cast(doc_id as varchar) doc, id, kind, false inferred from known
+union all select cast(doc_id as varchar), id, kind, true from implied i where id is not null and not exists (select 1 from known k where k.doc_id = i.doc_id and k.id = i.id)"""
+)
 def prov_property_graph(s, d):
     n, e = prov.from_payloads(table(s, d, "prov_json"), "prov_doc_id", "payload")
     return prov.property_graph(n, e)[0]
