@@ -55,6 +55,20 @@ def test_retried_batch_replaces_its_rows(spark, tmp_path):
     assert _batch_path(store, 1).endswith("batch=000000001")
 
 
+def test_many_runs_read_all_keys_and_few_only_theirs(spark, tmp_path, monkeypatch):
+    rows = [(f"a/timing_{i}.csv", f"r{i % 7}" if i % 5 else None, H + f"P{i % 11},1,2,3.0,1.5\n") for i in range(40)]
+    want = None
+    for most in (0, 3, 100):
+        monkeypatch.setattr("weftline.streaming.compactor.MOST_VALUES", most)
+        src, store, log = (f"{tmp_path}/{x}{most}" for x in ("in", "store", "log"))
+        for k in range(0, 40, 10):
+            files(spark, src, rows[k : k + 10], start=1 + k)
+        out = compact_timing_files(spark, src, store, log, files_per_batch=1)
+        assert want is None or keys(out) == want
+        want = keys(out)
+        assert out.count() == len(want) == len({(r, c) for _, r, c in rows})
+
+
 def test_empty_table(spark, tmp_path):
     src = f"{tmp_path}/in"
     files(spark, src, [])

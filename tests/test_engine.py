@@ -30,7 +30,9 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [q for q in entry.queries() if q not in SQL])
 def test_query_without_sql_runs(spark, name):
     df = entry.queries()[name](spark, D)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+    n = df.count()
+    assert n > 0 and len(set(df.columns)) == len(df.columns)
+    assert df.distinct().count() == n  # none of these repeats a row
 
 
 def test_entry(spark):
@@ -84,6 +86,8 @@ def test_monitoring(spark, tmp_path):
     assert seen.get["rows"] == len(rows)
     with timing.Timer() as t:
         pass
+    made = timing.write_timings([{"pe_id": "A b", "port": "output", "count": 2, "total_secs": 1.0, "avg_secs": 0.5}], f"{tmp_path}/w", "timing", "r/7")
+    assert len(made) == 1 and timing.read_timings(spark, f"{tmp_path}/w", "r/7").first()["count"] == 2
     log: list = []
     with timing.timed("x", log):
         pass

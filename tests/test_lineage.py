@@ -36,6 +36,25 @@ def test_patterns(spark):
     assert P.state_by_term(df.withColumn("t", F.lit("s")), ["k"], "t", ["i"], "i").where("k='k'").first()["i"] == 5
 
 
+def test_patterns_across_blocks_and_ties_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 4)
+    df = spark.createDataFrame([(k, i, i % 3 == 0) for k in ("a", None) for i in range(23)], "k string, i int, e boolean").repartition(3)
+    got = {(r["k"], r["i"]): list(r["derived_from"]) for r in P.slide(df, ["k"], ["i"], "i", 3).collect()}
+    assert got == {(k, i): list(range(max(0, i - 2), i + 1)) for k in ("a", None) for i in range(23)}
+    assert {(r["k"], r["i"]): r["previous"] for r in P.grouped(df, ["k"], ["i"], "i").collect()} == {(k, i): i - 1 if i else None for k in ("a", None) for i in range(23)}
+    assert {(r["k"], r["i"]): r["state_id"] for r in P.stateful_output(df, ["k"], ["i"], "i", F.col("e")).collect()} == {(k, i): (i - 1) // 3 * 3 if i else None for k in ("a", None) for i in range(23)}
+
+
+def test_discarded_derivations(spark):
+    from weftline.lineage import capture
+
+    rows = [("o", f"i{n}", None, n) for n in range(5)] + [("o", "s1", "t", 1), ("o", "s2", "t", 3), ("p", "i9", None, 9)]
+    d = spark.createDataFrame(rows, "id string, derived_from string, lookupterm string, at int")
+    assert {r["derived_from"] for r in capture.discard_in_flow(d, "at", 2, ["id"]).collect()} == {"i3", "i4", "s1", "s2", "i9"}
+    assert {r["derived_from"] for r in capture.discard_state(d).collect()} == {"i0", "i1", "i2", "i3", "i4", "s2", "i9"}
+    assert {r["derived_from"] for r in capture.discard_state(d, False).where("id = 'p'").collect()} == {"i9"}
+
+
 def test_config_and_run_record(spark, tmp_path):
     with pytest.raises(ValueError):
         records.LineageConfig("", "x")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import argparse
 
-from .lineage.records import load_config, run_record
-from .monitor.timing import Timer
+from .lineage.capture import capture
+from .lineage.records import load_config, run_record, update_run
+from .monitor.timing import Timer, write_timings
 from .plans.graph import load_graph
 from .session import local_session
 from .sources.inputs import resolve
@@ -24,11 +25,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--provenance-path")
     p.add_argument("--provenance-run-id", dest="run_id")
     p.add_argument("--provenance-user-id", dest="user")
+    p.add_argument("--provenance-records", action="store_true", help="also write the lineage of every node's output")
+    p.add_argument("--timing-dir", help="run node by node and write timing files of each there")
+    p.add_argument("--timing-prefix", default="timing")
+    p.add_argument("--run-id", dest="timing_run", default="run")
     p.add_argument("--print-shape", action="store_true")
     p.add_argument("--dot", action="store_true", help="print the graph for Graphviz and end")
     return p
 
 
+def _put(df, path: str | None) -> None:
+    df.write.mode("append").json(path) if path else df.show(truncate=False)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     graph = load_graph(args.module, args.attr)
@@ -38,17 +47,31 @@ def main(argv: list[str] | None = None) -> int:
     if args.print_shape:
         print(graph.shape_json())
     spark = local_session(args.num)
+    inputs = resolve(spark, graph, args.file, args.data, args.iter)
     with Timer() as t:
+        cfg = None
         if args.provenance_config:
             cfg = load_config(args.provenance_config, path=args.provenance_path, run_id=args.run_id, user=args.user)
             record = run_record(spark, cfg, graph)
-            record.write.mode("append").json(args.provenance_path) if args.provenance_path else record.show(truncate=False)
-        for (node, port), df in graph.compile(resolve(spark, graph, args.file, args.data, args.iter)).items():
+            _put(record, args.provenance_path)
+        if args.timing_dir:
+            out, log = graph.run_timed(inputs)
+            write_timings(log, args.timing_dir, args.timing_prefix, args.timing_run)
+        elif cfg is not None and args.provenance_records:
+            got = capture(graph, cfg, inputs)
+            out = got.outputs
+            for name, table in (("records", got.records), ("derivations", got.derivations)):
+                _put(table, args.provenance_path and f"{args.provenance_path}-{name}")
+        else:
+            out = graph.compile(inputs)
+        for (node, port), df in out.items():
             if args.out:
                 df.write.mode("overwrite").parquet(f"{args.out}/{node}.{port}")
             else:
                 print(f"{node}.{port}")
                 df.show()
+        if cfg is not None:
+            _put(update_run(record, "terminated"), args.provenance_path)
     print(f"elapsed {t.seconds:.3f} s")
     return 0
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import running
 
+#: Rows of a key that one window runs over.
+BLOCK = 100_000
+
 
 def single_invocation(df: DataFrame, ident: str, column: str = "derived_from") -> DataFrame:
     """Stateless: an output derives from its own invocation's input."""
@@ -21,9 +24,18 @@ force_stateless = single_invocation
 
 
 def slide(df: DataFrame, keys: list[str], order: list[str], ident: str, width: int, column: str = "derived_from") -> DataFrame:
-    """An output derives from the last ``width`` inputs."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(width - 1), 0)
-    return df.withColumn(column, F.collect_list(ident).over(w))
+    """An output derives from the last ``width`` inputs.
+
+    Rows are numbered per key over all tasks and windows run inside blocks of BLOCK
+    numbers, each with the ``width`` - 1 rows before it, so a hot key is spread.
+    """
+    block = max(BLOCK, width)
+    marked = running(df.withColumn("_one", F.lit(1)), order, {"_rn": ("count", "_one")}, keys).drop("_one")
+    own = F.floor((F.col("_rn") - 1) / block)
+    nxt = F.floor((F.col("_rn") + width - 2) / block)
+    copies = marked.withColumn("_own", own).withColumn("_block", F.explode(F.array_distinct(F.array(own, nxt))))
+    w = Window.partitionBy(*keys, "_block").orderBy("_rn").rowsBetween(-(width - 1), 0)
+    return copies.withColumn(column, F.collect_list(ident).over(w)).where("_block = _own").drop("_rn", "_own", "_block")
 
 
 def emission_group(df: DataFrame, keys: list[str], order: list[str], emits: Column, column: str = "grp") -> DataFrame:
@@ -61,13 +73,19 @@ def n_by_one(streams: dict[str, DataFrame], keys: list[str], order: list[str], i
 
 def grouped(df: DataFrame, group: list[str], order: list[str], ident: str, column: str = "previous") -> DataFrame:
     """State by grouping key: an output derives from its input and the state its key had, named by the input before."""
-    return df.withColumn(column, F.lag(ident).over(Window.partitionBy(*group).orderBy(*order)))
+    two = slide(df, group, order, ident, 2, "_two")
+    return two.withColumn(column, F.when(F.size("_two") > 1, F.element_at("_two", 1))).drop("_two")
 
 
 def stateful_output(df: DataFrame, keys: list[str], order: list[str], ident: str, writes_state: Column, column: str = "state_id") -> DataFrame:
-    """An output derives from the state last written before it."""
-    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(column, F.last(F.when(writes_state, F.col(ident)), ignorenulls=True).over(past))
+    """An output derives from the state last written before it, whose place among its key's states is counted over all tasks."""
+    marked = running(df.withColumn("_w", F.coalesce(writes_state, F.lit(False)).cast("int")), order, {"_upto": ("sum", "_w")}, keys)
+    states = marked.where("_w = 1").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_upto").alias("_state"), F.col(ident).alias(column))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return marked.join(states, [*same, F.col("_upto") - F.col("_w") == F.col("_state")], "left").drop("_w", "_upto", "_state", *(f"_k{i}" for i in range(len(keys))))
+
+
+accumulate_state_trace = stateful_output
 
 
 def state_by_term(df: DataFrame, keys: list[str], term: str, order: list[str], ident: str) -> DataFrame:

@@ -20,7 +20,7 @@ LINEAGE = (
 )
 RUN = (
     "_id string, runId string, sessionId string, username string, workflowId string, description string, system_id string, workflowName string, mapping string, type string, "
-    "prov_type string, status string, startTime timestamp, input array<map<string,string>>, modules array<string>, source map<string,string>, ns map<string,string>"
+    "prov_type string, status string, startTime timestamp, endTime timestamp, input array<map<string,string>>, modules array<string>, source map<string,string>, ns map<string,string>"
 )
 
 
@@ -76,16 +76,23 @@ def run_record(spark: SparkSession, cfg: LineageConfig, graph=None, status: str
     modules = [n.name for n in graph.flatten().nodes] if graph is not None else []
     row = (
         cfg.run_id, cfg.run_id, cfg.session_id or None, cfg.user, cfg.workflow_id, cfg.description or None, None, cfg.workflow_name, "spark",
-        "workflow_run", None, status, datetime.now(UTC), [], modules, {m: "node" for m in modules}, {},
+        "workflow_run", None, status, datetime.now(UTC), None, [], modules, {m: "node" for m in modules}, {},
     )
     return spark.createDataFrame([row], RUN)
 
 
-def lineage_of(df: DataFrame, cfg: LineageConfig, node: str, ident: str, derived: Column, metadata: Column | None = None, index: Column | None = None, port: str = "output", skip: Column | None = None) -> DataFrame:
+def update_run(run: DataFrame, status: str) -> DataFrame:
+    """The run's row with another status, and its end if it has ended; written beside the first, the later row counts."""
+    ended = F.lit(status).isin("terminated", "failed")
+    return run.withColumn("status", F.lit(status)).withColumn("endTime", F.when(ended, F.current_timestamp()))
+
+
+def lineage_of(df: DataFrame, cfg: LineageConfig, node: str, ident: str, derived: Column, metadata: Column | None = None, index: Column | None = None, port: str = "output", skip: Column | None = None, input_port: str = "input", fmt: str | None = None, location: Column | None = None, size: Column | None = None, started: Column | None = None, ended: Column | None = None, state: Column | None = None) -> DataFrame:
     """Lineage rows of a node's output: one for each datum whose metadata the node's rules keep.
 
     ``derived`` is an array of the ids it derives from; ``metadata`` a map<string,string>.
-    Where ``skip`` holds nothing is recorded.
+    Where ``skip`` holds nothing is recorded. ``state`` is an array of (term, id)
+    structs, the state entities it derives from besides.
     """
     from .rules import keeps_map
 
@@ -98,19 +105,28 @@ def lineage_of(df: DataFrame, cfg: LineageConfig, node: str, ident: str, derived
     each = F.transform(
         derived,
         lambda d: F.named_struct(
-            F.lit("port"), F.lit("input"), F.lit("DerivedFromDatasetID"), d.cast("string"), F.lit("TriggeredByProcessIterationID"), null("string"), F.lit("prov_cluster"), F.lit(cfg.clusters.get(node, node)),
+            F.lit("port"), F.lit(input_port), F.lit("DerivedFromDatasetID"), d.cast("string"), F.lit("TriggeredByProcessIterationID"), null("string"), F.lit("prov_cluster"), F.lit(cfg.clusters.get(node, node)),
             F.lit("iterationIndex"), null("bigint"), F.lit("lookupterm"), null("string"), F.lit("assertionType"), null("string"),
         ),
     )
+    if state is not None:
+        states = F.transform(
+            state,
+            lambda d: F.named_struct(
+                F.lit("port"), null("string"), F.lit("DerivedFromDatasetID"), d["id"].cast("string"), F.lit("TriggeredByProcessIterationID"), null("string"), F.lit("prov_cluster"), F.lit(cfg.clusters.get(node, node)),
+                F.lit("iterationIndex"), null("bigint"), F.lit("lookupterm"), d["term"].cast("string"), F.lit("assertionType"), F.lit("past_flow"),
+            ),
+        )
     stream = F.named_struct(
-        F.lit("content"), F.array(meta), F.lit("id"), did, F.lit("format"), null("string"), F.lit("location"), null("string"), F.lit("port"), F.lit(port),
-        F.lit("annotations"), null("array<string>"), F.lit("size"), null("bigint"), F.lit("immediateAccess"), F.lit(False), F.lit("firstKnownDestination"), null("string"),
+        F.lit("content"), F.array(meta), F.lit("id"), did, F.lit("format"), F.lit(fmt).cast("string"), F.lit("location"), (null("string") if location is None else location.cast("string")), F.lit("port"), F.lit(port),
+        F.lit("annotations"), null("array<string>"), F.lit("size"), (null("bigint") if size is None else size.cast("bigint")), F.lit("immediateAccess"), F.lit(False), F.lit("firstKnownDestination"), null("string"),
     )
     values = {
         "_id": F.concat_ws("_", F.lit(cfg.run_id), F.lit(node), did), "iterationId": F.concat_ws("_", F.lit(node), did), "name": F.lit(node), "runId": F.lit(cfg.run_id),
         "username": F.lit(cfg.user), "type": F.lit("lineage"), "mapping": F.lit("spark"), "prov_cluster": F.lit(cfg.clusters.get(node, node)), "creator": F.lit(cfg.user),
-        "instanceId": F.lit(node), "iterationIndex": (index if index is not None else null("bigint")).cast("bigint"), "stateful": F.lit(False), "feedbackIteration": F.lit(False),
-        "derivationIds": each, "streams": F.array(stream),
+        "instanceId": F.lit(node), "iterationIndex": (index if index is not None else null("bigint")).cast("bigint"), "feedbackIteration": F.lit(False),
+        "derivationIds": each if state is None else F.concat(each, states), "streams": F.array(stream), "stateful": F.lit(state is not None),
+        "startTime": null("timestamp") if started is None else started, "endTime": null("timestamp") if ended is None else ended,
     }
     cols = []
     for part in df.sparkSession.createDataFrame([], LINEAGE).schema:

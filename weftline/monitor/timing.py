@@ -106,3 +106,20 @@ def read_timings(spark: SparkSession, pattern: str, run_id: str, iterations: boo
 
 def write_csv(df: DataFrame, path: str, files: int = 1) -> None:
     df.coalesce(files).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_timings(log: list[dict], folder: str, prefix: str, run_id: str) -> list[str]:
+    """A timing file for each output of :meth:`Graph.run_timed`, named as :func:`read_timings` expects; rank is 0, the run's driver."""
+    import csv
+    from pathlib import Path
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    made = []
+    for row in log:
+        path = Path(folder) / f"{prefix}_{safe_name(row['pe_id'])}_{safe_name(row['port'])}_rank0_run{safe_name(run_id)}.csv"
+        with open(path, "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f)
+            w.writerow(["pe_id", "rank", "count", "total_secs", "avg_secs"])
+            w.writerow([row["pe_id"], 0, row["count"], row["total_secs"], row["avg_secs"]])
+        made.append(str(path))
+    return made

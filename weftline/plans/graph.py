@@ -24,7 +24,11 @@ class GraphError(ValueError):
 
 @dataclass(eq=False)
 class Node:
-    """``fn`` takes {port: DataFrame}; a DataFrame in return means the single output port."""
+    """``fn`` takes {port: DataFrame}; a DataFrame in return means the single output port.
+
+    ``derives``: for lineage, the columns by which an output that is not row by row
+    belongs to its inputs; see :mod:`lineage.capture`.
+    """
 
     name: str
     fn: Callable[[Ports], Ports | DataFrame]
@@ -32,6 +36,7 @@ class Node:
     outputs: tuple[str, ...] = ("output",)
     grouping: dict[str, object] = field(default_factory=dict)
     instances: int = 1
+    derives: list[str] | None = None
 
     def __call__(self, given: Ports) -> Ports:
         from ..operators.routing import route
@@ -143,18 +148,19 @@ class Graph:
             raise GraphError(f"the graph has a cycle through {stuck}; use operators.combine.iterate for bounded feedback")
         return done
 
-    def compile(self, inputs: dict | None = None, cache_fan_out: bool = False) -> dict[tuple[str, str], DataFrame]:
+    def compile(self, inputs: dict | None = None, cache_fan_out: bool = False, around: Callable | None = None) -> dict[tuple[str, str], DataFrame]:
         """Lazy DataFrames of all outputs that no edge takes up, by (node name, port).
 
         ``inputs`` gives DataFrames to ports: {node or its name: DataFrame or {port: DataFrame}}.
         With ``cache_fan_out`` an output that several edges take up is persisted.
+        ``around`` is called instead of each node, with the node and its inputs.
         """
         flat = self.flatten()
-        made = flat._run(inputs or {}, cache_fan_out)
+        made = flat._run(inputs or {}, cache_fan_out, around)
         used = {(id(e.source), e.out_port) for e in flat.edges}
         return {(n.name, p): df for n in flat.nodes for p, df in made[id(n)].items() if (id(n), p) not in used}
 
-    def _run(self, inputs: dict, cache: bool) -> dict[int, Ports]:
+    def _run(self, inputs: dict, cache: bool, around: Callable | None = None) -> dict[int, Ports]:
         made: dict[int, Ports] = {}
         for n in self.order():
             given: dict[str, list[DataFrame]] = {}
@@ -175,13 +181,36 @@ class Graph:
                 for df in dfs[1:]:
                     whole = whole.unionByName(df)
                 ports[p] = whole
-            made[id(n)] = n(ports)
+            made[id(n)] = n(ports) if around is None else around(n, ports)
             if cache:
                 for p in made[id(n)]:
                     if sum(1 for e in self.edges if e.source is n and e.out_port == p) > 1:
                         made[id(n)][p] = made[id(n)][p].persist()
         return made
 
+    def run_timed(self, inputs: dict | None = None) -> tuple[dict[tuple[str, str], DataFrame], list[dict]]:
+        """Run node by node, each output written before the next node starts; outputs and a row of timing for each output.
+
+        Compiled as a whole, nodes melt into common stages and have no time of their
+        own; here each has, at the price of writing everything in between.
+        """
+        from time import perf_counter
+
+        from ..scratch import Scratch, rows
+
+        log: list[dict] = []
+
+        def around(node, given):
+            made = {}
+            for port, df in node(given).items():
+                t = perf_counter()
+                made[port], seen = Scratch(df.sparkSession, "timed").write(df, n=rows(df))
+                secs = perf_counter() - t
+                log.append({"pe_id": node.name, "port": port, "count": seen["n"], "total_secs": secs, "avg_secs": secs / max(1, seen["n"])})
+            return made
+
+        return self.compile(inputs, around=around), log
+
     def types(self, inputs: dict | None = None) -> dict[str, str]:
         """Schema of every output port, found without running anything."""
         flat = self.flatten()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import patterns, prov, records, rules
+from .lineage.capture import capture
 from .monitor import timing
 from .operators import aggregates as agg
 from .operators import basic, combine, routing
@@ -445,10 +446,156 @@ def prov_property_graph(s, d):
     return prov.property_graph(n, e)[0]
 
 
-@query()
+@query(
+    "with w as (select event_id, value, list(event_id) over (partition by user_id order by event_id rows between 2 preceding and current row) l from events) "
+    "select 'run_window_' || event_id _id, 'window_' || event_id iteration, 'window' as name, 'run' run, 'anonymous' username, 'lineage' as type, 'window' prov_cluster, "
+    "array_to_string(l, ';') derived_from, cast(event_id as varchar) stream, 'output' as port, cast(value as varchar) as value, cast(length(cast(value as varchar)) as bigint) size "
+    "from w where value > 20 and value < 60"
+)
 def lineage_records(s, d):
-    """Lineage records of a sliding-window node, with a selectivity rule; ids are those of the events."""
+    """Lineage records of a sliding-window node, with a selectivity rule, laid out flat; ids are those of the events."""
     cfg = records.LineageConfig("wf", "sliding window", run_id="run", rules={"window": {"rules": {"value": {"$gt": 20, "$lt": 60}}}})
     x = patterns.slide(_events(s, d), ["user_id"], ["event_id"], "event_id", 3)
     meta = F.create_map(F.lit("value"), F.col("value").cast("string"))
-    return records.lineage_of(x, cfg, "window", "event_id", F.col("derived_from"), meta).drop("parameters", "annotations", "streams", "derivationIds", "startTime", "endTime")
+    r = records.lineage_of(x, cfg, "window", "event_id", F.col("derived_from"), meta, size=F.octet_length(F.col("value").cast("string")))
+    one = F.element_at("streams", 1)
+    return r.select(
+        "_id", F.col("iterationId").alias("iteration"), "name", F.col("runId").alias("run"), "username", "type", "prov_cluster",
+        F.array_join(F.transform("derivationIds", lambda x: x["DerivedFromDatasetID"]), ";").alias("derived_from"),
+        one["id"].alias("stream"), one["port"].alias("port"), F.element_at(one["content"], 1)["value"].alias("value"), one["size"].alias("size"),
+    )
+
+
+def _lineage_counts(graph, cfg=None):
+    """Of each output of a graph run with lineage: records, distinct data, derivations, origins."""
+    got = capture(graph, cfg or records.LineageConfig("wf", "graph", run_id="run"))
+    n = got.records.groupBy("name", "port").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("id").alias("data"))
+    up = got.derivations.groupBy(F.col("name").alias("_n"), F.col("port").alias("_p")).agg(F.count(F.lit(1)).alias("derivations"), F.count_distinct("derived_from").alias("origins"))
+    both = n.join(up, (F.col("name") == F.col("_n")) & (F.col("port") == F.col("_p")), "left")
+    return both.select("name", "port", "records", "data", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("derivations", "origins")))
+
+
+@query(
+    "with e as (select event_id, event_type, value from events), k as (select * from e where value > 50), "
+    "t as (select 'source' as name, count(*) n, 0 d, 0 o from e union all select 'keep', count(*), count(*), count(*) from k "
+    "union all select 'double', count(*), count(*), count(*) from k union all select 'count', count(distinct event_type), count(*), count(*) from k "
+    "union all select 'whole', 1, count(distinct event_type), count(distinct event_type) from k) "
+    "select name, 'output' as port, cast(n as bigint) records, cast(n as bigint) as data, cast(d as bigint) derivations, cast(o as bigint) origins from t"
+)
+def lineage_graph(s, d):
+    """A filter, a map, a count by key and one over all, each deriving from what went in."""
+    g = Graph().chain(
+        basic.source("source", lambda: _events(s, d).select("event_id", "event_type", "value")),
+        basic.filter_node("keep", F.col("value") > 50),
+        basic.map_node("double", "event_id", "event_type", (F.col("value") * 2).alias("value")),
+        Node("count", lambda p: agg.one_shot(p["input"], {"n": agg.count()}, ["event_type"]), derives=["event_type"]),
+        Node("whole", lambda p: agg.one_shot(p["input"], {"n": agg.total("n")}), derives=[]),
+    )
+    return _lineage_counts(g)
+
+
+def _nway(s, d):
+    """A table cut in three, each part doubled by a node of its own, and merged."""
+    g = Graph()
+    cut = basic.chunk(table(s, d, "part").select("p_partkey"), ["p_partkey"], 3)
+    split = basic.split_node("split", {f"output{i}": F.col("chunk") == i for i in range(3)})
+    merge = basic.merge_node("merge", {f"input{i}": "v" for i in range(3)})
+    g.connect(basic.source("source", lambda: cut), "output", split, "input")
+    for i in range(3):
+        twice = basic.map_node(f"double{i}", (F.col("p_partkey") * 2).alias("v"))
+        g.connect(split, f"output{i}", twice, "input")
+        g.connect(twice, "output", merge, f"input{i}")
+    return g
+
+
+@query("select cast(p_partkey * 2 as varchar) v from part")
+def topology_nway_split_merge(s, d):
+    return next(iter(_nway(s, d).compile().values()))
+
+
+@query(
+    "with a as (select p_partkey, row_number() over (order by p_partkey) - 1 pos, count(*) over () n from part), c as (select cast(floor(pos / ceil(n / 3.0)) as bigint) k from a), "
+    "g as (select k, count(*) m from c group by k), "
+    "t as (select 'source' as name, 'output' as port, count(*) n, 0 d from c union all select 'split', 'output' || k, m, m from g "
+    "union all select 'double' || k, 'output', m, m from g union all select 'merge', 'output', count(*), count(*) from c) "
+    "select name, port, cast(n as bigint) records, cast(n as bigint) as data, cast(d as bigint) derivations, cast(d as bigint) origins from t"
+)
+def lineage_nway_split_merge(s, d):
+    return _lineage_counts(_nway(s, d))
+
+
+@query(
+    "with a as (select user_id, event_id, row_number() over (partition by user_id order by event_id) rn from events where event_type = 'click'), "
+    "b as (select user_id, event_id, row_number() over (partition by user_id order by event_id) rn from events where event_type = 'view'), z as (select * from a join b using (user_id, rn)), "
+    "t as (select 'left' as name, count(*) n, 0 d from a union all select 'right', count(*), 0 from b union all select 'zip', count(*), 2 * count(*) from z) "
+    "select name, 'output' as port, cast(n as bigint) records, cast(n as bigint) as data, cast(d as bigint) derivations, cast(d as bigint) origins from t"
+)
+def lineage_two_source_zip(s, d):
+    """Two sources in lock step; an output derives from one datum of each."""
+    g = Graph()
+    hide = lambda p: combine.zip_join(p["a"], p["b"], ["event_id"], ["user_id"], {"x": "event_id", "_prov_a": basic.HIDDEN}, {"y": "event_id", "_prov_b": basic.HIDDEN})
+    z = Node("zip", hide, inputs=("a", "b"))
+    for name, kind, port in (("left", "click", "a"), ("right", "view", "b")):
+        g.connect(basic.source(name, lambda kind=kind: _type(_events(s, d), kind).select("user_id", "event_id")), "output", z, port)
+    return _lineage_counts(g)
+
+
+@query("select event_id from events")
+def topology_explicit_partitions(s, d):
+    """Nodes of three and of two instances, the second fed by key."""
+    spread = Node("three", lambda p: p["input"], grouping={"input": "shuffle"}, instances=3)
+    keyed = Node("two", lambda p: p["input"], grouping={"input": ["user_id"]}, instances=2)
+    return _graph(_events(s, d), spread, keyed).select("event_id")
+
+
+@query("select event_type, event_id, count(*) over (partition by event_type order by ts, event_id rows between unbounded preceding and current row) n from events where value > 50 or value <= 50")
+def topology_split_merge_by_key(s, d):
+    """Two filters of one source meet again in a counter by key."""
+    g = Graph()
+    src = basic.source("source", lambda: _events(s, d).select("event_type", "ts", "event_id", "value"))
+    count = Node("counter", lambda p: agg.continuous(p["input"], ["ts", "event_id"], {"n": ("count", "event_id")}, ["event_type"]), grouping={"input": ["event_type"]}, instances=4)
+    for name, keep in (("high", F.col("value") > 50), ("low", F.col("value") <= 50)):
+        f = basic.filter_node(name, keep)
+        g.connect(src, "output", f, "input")
+        g.connect(f, "output", count, "input")
+    return next(iter(g.compile().values())).select("event_type", "event_id", "n")
+
+
+@query("select event_id from events")
+def topology_delayed(s, d):
+    return _graph(_events(s, d).select("event_id"), basic.delay("delay", 0.0), basic.identity("sink"))
+
+
+class _ClicksSoFar:
+    """Of each user's views: how many clicks came before, from two inputs; and at the end both counts."""
+
+    def __init__(self):
+        self.clicks = self.views = 0
+
+    def process(self, port, row):
+        if port == "clicks":
+            self.clicks += 1
+            return None
+        self.views += 1
+        return [("views", {"event_id": row["event_id"], "clicks": self.clicks})]
+
+    def postprocess(self):
+        return [("totals", {"clicks": self.clicks, "views": self.views})]
+
+
+def _two_ports(s, d):
+    node = basic.ports_node("so_far", _ClicksSoFar, ["clicks", "views"], {"views": "event_id bigint, clicks bigint", "totals": "clicks bigint, views bigint"}, {"clicks": ["user_id"], "views": ["user_id"]}, {"clicks": "event_id", "views": "event_id"})
+    g = Graph()
+    for port, kind in (("clicks", "click"), ("views", "view")):
+        g.connect(basic.source(port, lambda kind=kind: _type(_events(s, d), kind).select("user_id", "event_id")), "output", node, port)
+    return g.compile()
+
+
+@query("select event_id, c clicks from (select *, count(*) filter (event_type = 'click') over (partition by user_id order by event_id) c from events) t where event_type = 'view'")
+def python_ports_keyed_state(s, d):
+    return _two_ports(s, d)["so_far", "views"]
+
+
+@query("select count(*) filter (event_type = 'click') clicks, count(*) filter (event_type = 'view') as views from events where event_type in ('click', 'view') group by user_id")
+def python_ports_flush(s, d):
+    return _two_ports(s, d)["so_far", "totals"]

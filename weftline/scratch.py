@@ -63,6 +63,10 @@ class Scratch:
         back._weftline_path = path
         return back, seen
 
+    def clear(self) -> None:
+        """Remove everything written so far."""
+        delete(self.spark, self.root)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Remove working tables that no later step reads."""
         for t in tables:
@@ -71,6 +75,13 @@ class Scratch:
                 delete(self.spark, path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in order; none if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
