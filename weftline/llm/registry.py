@@ -178,4 +178,10 @@ ORACLE = {
   s as (select pe_id, rank, n, q, v[cast(floor((n - 1) * q) as bigint) + 1] a, v[cast(ceil((n - 1) * q) as bigint) + 1] z from g cross join q)
 select pe_id, rank, n, q, case when a = 0 then 0.0 else floor(a * pow(2, 16 - floor(log2(a)))) * pow(2, floor(log2(a)) - 16) end as lower,
   case when z = 0 then 0.0 else floor(z * pow(2, 16 - floor(log2(z)))) * pow(2, floor(log2(z)) - 16) end as upper from s""",
+    "p6_found": """
+with d as (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) w from documents where text is not null and doc_id is not null),
+  i as (select item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) w from eval_items where text is not null and item_id is not null),
+  dw as (select doc_id, array_to_string(w[k:k + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) k from d where len(w) >= 20)),
+  iw as (select item_id, array_to_string(w[k:k + 19], ' ') g from (select item_id, w, unnest(range(1, len(w) - 18)) k from i where len(w) >= 20))
+select distinct doc_id, item_id from dw join iw on dw.g = iw.g""",
 }
