@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shred import RECORDS, tables, whole_records
+from ..scratch import Scratch
 
 ATTRS = "array<struct<name:string,no:int,value:string,type:string,lang:string>>"
 NODES = f"doc string, bundle string, kind string, id string, attrs {ATTRS}"
@@ -105,8 +106,8 @@ def relations(records: DataFrame) -> DataFrame:
 
 
 def from_payloads(df: DataFrame, doc_id: str, payload: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of PROV-JSON payloads."""
-    r = from_json(df, doc_id, payload)
+    """Node and edge tables of PROV-JSON payloads, which are parsed once and written for both."""
+    r, _ = Scratch(df.sparkSession, "prov").write(from_json(df, doc_id, payload))
     return elements(r), relations(r)
 
 
@@ -230,8 +231,9 @@ def property_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     """
     implies = lambda i: F.coalesce(*(F.when(F.col("kind") == k, F.lit(r[i])) for k, r in RELATIONS.items()))
     known = nodes.select("doc", "id", "kind", F.lit(False).alias("inferred")).distinct()
-    ends = [edges.where(F.col(c).isNotNull()).select("doc", F.col(c).alias("id"), implies(i).alias("kind")) for c, i in (("src", 1), ("dst", 2))]
-    implied = ends[0].unionByName(ends[1]).distinct().join(known.select("doc", "id").distinct(), ["doc", "id"], "left_anti")
+    end = lambda c, i: F.struct(F.col(c).alias("id"), implies(i).alias("kind"))
+    ends = edges.select("doc", F.explode(F.array(end("src", 1), end("dst", 2))).alias("x")).select("doc", "x.*").where("id is not null")
+    implied = ends.distinct().join(known.select("doc", "id").distinct(), ["doc", "id"], "left_anti")
     return known.unionByName(implied.withColumn("inferred", F.lit(True))), edges
 
 
