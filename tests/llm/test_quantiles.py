@@ -57,6 +57,22 @@ def test_join_path_equals_broadcast_path(spark, monkeypatch):
     assert sorted(a) == sorted(Q.percentiles(df, {"g": df["g"]}, "v", [0.5]).collect())
 
 
+def test_too_many_cells_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    class Watched(Q.Scratch):
+        def write(self, df, **counts):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df, **counts)
+
+    df = frame(spark, values())
+    monkeypatch.setattr(Q, "Scratch", Watched)
+    monkeypatch.setattr(Q, "BROADCAST_CELLS", 0)  # these few cells look small enough for Spark to broadcast
+    got = Q.percentiles(df, {"g": df["g"]}, "v", [0.5]).collect()
+    assert len(got) == 4 and sum("SortMergeJoin" in p for p in plans) == 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_empty_and_nonnegative(spark):
     df = frame(spark, [])
     assert Q.percentiles(df, {"g": df["g"]}, "v", QS).count() == 0

@@ -109,7 +109,13 @@ def _inside(rows_: DataFrame, targets: DataFrame, cells: int, gs: list[str]) ->
     if cells <= BROADCAST_CELLS:
         return rows_.join(F.broadcast(wanted), [*gs, "cell"], "left_semi")
     every = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows_.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(every, [*gs, "cell", "salt"], "left_semi").drop("salt")
+    return rows_.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(_met(every, cells), [*gs, "cell", "salt"], "left_semi").drop("salt")
+
+
+def _met(side: DataFrame, cells: int) -> DataFrame:
+    """A join side made of the cells. Too many are never broadcast, though Spark may think them
+    small: it goes by their compressed file and doesn't count the salted copies."""
+    return side if cells <= BROADCAST_CELLS else side.hint("merge")
 
 
 def percentiles(df: DataFrame, group: dict, value: str, qs: list[float], bits: int = 64, nonnegative: bool = False) -> DataFrame:
@@ -132,7 +138,7 @@ def percentiles(df: DataFrame, group: dict, value: str, qs: list[float], bits: i
             at = _inside(held.withColumn("cell", F.shiftright("key", shift_up)), targets, seen["cells"], gs)
             sub = at.groupBy(*gs, "cell", F.shiftright("key", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
             known = targets.withColumnRenamed("digit", "cell")
-            targets, seen = work.write(_targets(sub.join(known, [*gs, "cell"]), gs, [*gs, "cell"], qs, False), cells=F.count(F.lit(1)))
+            targets, seen = work.write(_targets(sub.join(_met(known, seen["cells"]), [*gs, "cell"]), gs, [*gs, "cell"], qs, False), cells=F.count(F.lit(1)))
     edge = from_key(F.shiftleft("digit", shift)) if shift else from_key(F.col("digit"))
     found = targets.select(*gs, "total", edge.alias("v"), F.explode("want").alias("r"), "base").withColumn("r", F.col("r") + F.col("base"))
     return _report(found.groupBy(*gs, "total").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at")), gs, list(group), qs)
